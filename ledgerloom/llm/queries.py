@@ -7,6 +7,10 @@ from importlib import import_module
 #: Query name and the module here whose ``query(spark, sf_dir)`` it is; ``ORACLE_SQL`` there, if any, is its SQL.
 MODULES = {
     "op2_simhash_near_dedup": "simhash",
+    "op4_byte_bpe": "bpe",
+    "op5_token_counts": "token_counts",
+    "op7_source_mix": "source_mix",
+    "op10_warc": "warc",
 }
 
 
