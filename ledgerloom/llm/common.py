@@ -94,20 +94,19 @@ def split_hot(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
 
     The rows of a key that has k * most rows are dealt into k chunks by a hash of ``member`` and each is copied to the k
     pairs of chunks that its own is in, so any two rows of a key still meet in some part. Keys of up to ``most`` rows
-    keep one part. Hot keys are found by an exact count with map-side partial sums.
+    keep one part. Hot keys are found by an exact count with map-side partial sums. ``chunk`` is the row's own chunk,
+    and ``inner`` tells parts that pair a chunk with itself: these list pairs inside a chunk once, the others pairs across.
     """
-    spark = rows.sparkSession
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     hot = cut(hot.select(key, F.ceil(F.col("n") / most).cast("int").alias("k")))
     found = hot.count()
     if not found:
-        return rows.withColumn("part", F.lit(0))
-    rows = joined(rows, hot, key, "left", found)
-    chunk = F.pmod(F.xxhash64(F.col(member)), F.col("k")).cast("int")
-    pairs = F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda other: F.least(other, chunk) * F.col("k") + F.greatest(other, chunk))
-    )
-    return rows.withColumn("part", F.explode(pairs)).drop("k")
+        return rows.select("*", F.lit(0).alias("chunk"), F.lit(0).alias("part"), F.lit(True).alias("inner"))
+    rows = joined(rows, hot, key, "left", found).withColumn("k", F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.col(member)), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    part = F.least("other", "chunk") * F.col("k") + F.greatest("other", "chunk")
+    return rows.withColumn("part", part).withColumn("inner", F.col("other") == F.col("chunk")).drop("k", "other")
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, components, cut, dealt, groups, picked, spanning, split_hot
+from ledgerloom.llm.common import bounded_batches, components, cut, dealt, groups, joined, picked, spanning, split_hot
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: Fingerprints of one anchor that are compared in one task without dealing them out.
@@ -55,16 +55,18 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * bits > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long), a row per document."""
+def fingerprints(documents: DataFrame, *also: str) -> DataFrame:
+    """``doc_id`` and ``fp`` (the fingerprint as a signed long), a row per document; ``also``: long columns to keep."""
     bounded_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            kept = [batch.column(c) for c in ("doc_id", *also)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found.view(np.int64))], ["doc_id", *also, "fp"])
 
-    return picked(documents, ("doc_id", "long"), ("text", "string")).mapInArrow(run, "doc_id long, fp long")
+    rows = picked(documents, ("doc_id", "long"), ("text", "string"), *((c, "long") for c in also))
+    return rows.mapInArrow(run, "".join(f"{c} long, " for c in ("doc_id", *also)) + "fp long")
 
 
 def _syndromes() -> np.ndarray:
@@ -130,16 +132,37 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
     return dealt(meeting, "anchor", "part").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, most: int = MOST) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest linked doc_id) for every document."""
-    known = cut(fingerprints(documents))
+def fingerprint_components(known: DataFrame, most: int = MOST) -> DataFrame:
+    """``fp, first, root, component_id`` for every distinct fingerprint of ``known(doc_id, fp)``."""
     distinct = cut(known.groupBy("fp").agg(F.min("doc_id").alias("first")))
     root = components(links(distinct, most)).withColumnRenamed("id", "fp")
     of = distinct.join(root, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = cut(of.join(lowest, "root").select("fp", "component_id"))
+    return cut(of.join(lowest, "root"))
+
+
+def near_duplicates(documents: DataFrame, most: int = MOST) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest linked doc_id) for every document."""
+    known = cut(fingerprints(documents))
+    of = fingerprint_components(known, most).select("fp", "component_id")
     return known.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicated(documents: DataFrame, most: int = MOST) -> DataFrame:
+    """The documents without all but one of each component: the row with its smallest doc_id (nulls last) stays.
+
+    Rows are told apart by their place in the scan, which is the same each time the same files are read; the rows that go,
+    not the texts that stay, are what the scan is joined with.
+    """
+    placed = documents.withColumn("_row", F.monotonically_increasing_id())
+    known = cut(fingerprints(placed, "_row"))
+    of = fingerprint_components(known, most)
+    tied = known.join(of, "fp").select("_row", "root", "doc_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    kept = tied.groupBy("root").agg(F.min(order)["_row"].alias("_row"))
+    gone = cut(tied.select("_row").join(kept, "_row", "left_anti"))
+    return joined(placed, gone, "_row", "left_anti", gone.count()).drop("_row")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
