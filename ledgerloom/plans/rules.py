@@ -172,21 +172,9 @@ def inert(rules: Iterable[Rule]) -> list[str]:
     return [rule.name for rule in rules if not rule.active]
 
 
-def load_rules(*sources: str | Path, packs: Iterable[str] = ()) -> list[Rule]:
-    """The rules of files, then of named packs, in order, so a later one wins. A missing source is an error."""
-    texts = [Path(source).read_text(encoding="utf-8-sig") for source in sources]
-    return [rule for text in [*texts, *map(pack_text, packs)] for rule in parse_rules(text)]
-
-
-def pack_names() -> list[str]:
-    return sorted(path.stem for path in (Path(__file__).parent / "packs").glob("*.rules"))
-
-
-def pack_text(name: str) -> str:
-    path = Path(__file__).parent / "packs" / f"{name}.rules"
-    if name not in pack_names():
-        raise RuleError(f"no pack named {name!r}; there are {', '.join(pack_names())}")
-    return path.read_text(encoding="utf-8")
+def load_rules(*sources: str | Path) -> list[Rule]:
+    """The rules of files in order, so a later one wins. A missing source is an error."""
+    return [rule for source in sources for rule in parse_rules(Path(source).read_text(encoding="utf-8-sig"))]
 
 
 def text_digest(text: str) -> str:
