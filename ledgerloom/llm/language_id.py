@@ -25,11 +25,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import bounded_batches, cut, joined, picked, remainder
+from ledgerloom.llm.common import bounded_batches, cut, hash_sample, joined, picked, remainder
 
 BUCKETS, SAMPLE, PENALTY, AT_ONCE, SMOOTH = 1 << 15, 400, 6.0, 1 << 20, 0.05
 FIRST, AGAIN = 10, 5
@@ -158,9 +157,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     spark = labelled.sparkSession
     bounded_batches(spark, 256)
     rows = picked(labelled, ("doc_id", "long"), ("text", "string"), ("lang", "string")).where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample)
-    chosen = cut(chosen.select("doc_id", "lang"))
+    chosen = cut(hash_sample(rows.select("doc_id", "lang"), "lang", "doc_id", sample).distinct())
     texts = joined(rows, chosen, ["doc_id", "lang"], "inner", chosen.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
