@@ -25,10 +25,9 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, cut, joined, picked, remainder
+from ledgerloom.llm.common import bounded_batches, cut, hash_sample, joined, picked, remainder
 
 WORDS, STATS, RANK, SAMPLE, SEED = 1 << 14, 16, 8, 4000, 8
 EPOCHS, RATE, BATCH, DECAY = 12, 0.05, 128, 1e-4
@@ -134,8 +133,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     bounded_batches(spark)
     marked = picked(labels, ("doc_id", "long"), ("quality", "int")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     share = {row["quality"]: row["n"] for row in marked.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = cut(marked.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).select("doc_id", "quality"))
+    chosen = cut(hash_sample(marked, "quality", "doc_id", sample))
     texts = joined(picked(documents, ("doc_id", "long"), ("text", "string")), chosen, "doc_id", "inner", chosen.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
