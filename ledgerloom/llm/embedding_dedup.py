@@ -9,8 +9,8 @@ by cosine; a search over those not yet reached gives links that span what links,
 Components of these links are then counted out exactly: within a component, block against block, every vector's partners
 with a cosine of ``THRESHOLD`` or more are counted, so ``n_links`` does not depend on which buckets met. Pairs of cosine 0.9,
 0.95 and 0.98 meet with probability 0.98, 0.9999 and 1 - 4e-7 by simulation (64 dimensions); pairs below the
-threshold never link. Equal vectors are one vector with a weight. Buckets and components of more than ``MOST`` vectors are
-dealt out in pairs of chunks.
+threshold never link. Equal vectors are one vector with a weight. Buckets of more than ``MOST`` vectors, and
+components of more than ``COUNTED``, are dealt out in pairs of chunks.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with
 nothing: 0 links, and component is the row's own id (kept is false for a null id). Vectors of different lengths don't link.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import bounded_batches, components, cut, dealt, groups, spanning, split_hot
 from ledgerloom.llm.topk_search import finite
 
-THRESHOLD, TABLES, WIDTH, GROUPS, SEED, MOST = 0.9, 10, 2.25, 2, 9, 4096
+THRESHOLD, TABLES, WIDTH, GROUPS, SEED, MOST, COUNTED = 0.9, 10, 2.25, 2, 9, 4096, 256
 #: Groups of up to this many vectors are compared many at once.
 SMALL = 24
 
@@ -141,7 +141,7 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, most: int = MOST, t
     return dealt(meeting.select("bucket", "part", "rid", "v"), "bucket", "part").mapInArrow(compare, "a long, b long")
 
 
-def partners(members: DataFrame, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
+def partners(members: DataFrame, threshold: float = THRESHOLD, most: int = COUNTED) -> DataFrame:
     """``rid, n``: the weights of all other vectors of its ``root`` that link with each of ``members(root, rid, v, weight)``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, most: int
     root = components(links(distinct, threshold, most, tables, width)).withColumnRenamed("id", "rid")
     linked = cut(distinct.join(root, "rid"))
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    counted = linked.select("rid", "root").join(partners(linked.select("root", "rid", "v", "weight"), threshold, most), "rid").join(lowest, "root").drop("root")
+    counted = linked.select("rid", "root").join(partners(linked.select("root", "rid", "v", "weight"), threshold, min(most, COUNTED)), "rid").join(lowest, "root").drop("root")
     own = F.col("weight") - 1 + F.coalesce("n", F.lit(0))
     of = distinct.join(counted, "rid", "left").select("v", own.alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     found = rows.where("v IS NOT NULL").join(of, "v").select("vec_id", "n_links", "component_id")
