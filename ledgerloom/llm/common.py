@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -74,31 +75,51 @@ def hash_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     return some.withColumn("_at", at).where(F.col("_at") <= most).drop("_n", "_at")
 
 
+def _to_roots(up: DataFrame) -> DataFrame:
+    """Pointers ``(id, up)`` followed to their ends; their length doubles with each step."""
+    while True:
+        top = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        far = cut(up.join(top, "up", "left").select("id", F.coalesce("top", "up").alias("top"), "up"))
+        up = far.select("id", F.col("top").alias("up"))
+        if far.where("top <> up").isEmpty():
+            return up
+
+
+@contextmanager
+def _plain_plans(spark: SparkSession):
+    """Without inferred constraints, which tables cut in a loop would pass on and multiply."""
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a long, b long)``: one row ``(id, root)`` per id that has an edge.
 
-    Every round points each id at its smallest neighbour and contracts the graph, so ids at least halve per round and a
-    star is done in one. The tables of each round are cut through the shared folder; nothing is collected. Hubs are
-    only ever grouped by partial aggregation or joined, which adaptive execution can split. Self links and repeats are
-    allowed; no edges give no rows.
+    Every round points each id at its smallest neighbour, follows the pointers to their ends, and contracts the graph to
+    those ends. A star or a chain is done in one or two rounds. The tables of each round are cut through the shared
+    folder; nothing is collected. Hubs are only ever grouped by partial aggregation or joined, which adaptive
+    execution can split. Self links and repeats are allowed; no edges give no rows.
     """
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    labels = None
-    while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("up")))
-        # one pointer jump: the parent's parent
-        top = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
-        up = cut(up.join(top, "up", "left").select("id", F.coalesce("top", "up").alias("up")))
-        if labels is None:
-            labels = up.select("id", F.col("up").alias("root"))
-        else:
-            step = up.select(F.col("id").alias("root"), "up")
-            labels = cut(labels.join(step, "root", "left").select("id", F.coalesce("up", "root").alias("root")))
-        a = up.select(F.col("id").alias("a"), F.col("up").alias("ua"))
-        b = up.select(F.col("id").alias("b"), F.col("up").alias("ub"))
-        moved = edges.join(a, "a").join(b, "b").where("ua <> ub")
-        edges = cut(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+    with _plain_plans(edges.sparkSession):
+        edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+        labels = None
+        while not edges.isEmpty():
+            both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            up = _to_roots(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("up")))
+            if labels is None:
+                labels = up.select("id", F.col("up").alias("root"))
+            else:
+                step = up.select(F.col("id").alias("root"), "up")
+                labels = cut(labels.join(step, "root", "left").select("id", F.coalesce("up", "root").alias("root")))
+            a = up.select(F.col("id").alias("a"), F.col("up").alias("ua"))
+            b = up.select(F.col("id").alias("b"), F.col("up").alias("ub"))
+            moved = edges.join(a, "a").join(b, "b").where("ua <> ub")
+            edges = cut(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")) if labels is None else labels
 
 
