@@ -14,6 +14,13 @@ compared, all 64 bits, only with those at the same anchor. That is exact: no lin
 Equal texts meet as one fingerprint beforehand. An anchor with more than ``MOST`` fingerprints is dealt out in pairs of
 chunks. Within an anchor a search over those not yet reached gives links that span the linked sets, never all pairs.
 
+:func:`deduplicated`, for pipelines, takes near copies as such: five-word shingles with a Jaccard similarity of 0.8 or more.
+At that similarity fingerprints of four words differ in about ten bits, so it finds candidates by fingerprints of
+distinct two-word shingles that differ in ``NEAR.threshold`` = 8 bits or fewer (99 % of near copies of 0.8 to 0.85 in the
+test tables, and below 1 of 1000 other pairs come to 20). One of their parts of 21, 21 and 22 bits then differs in at most 2,
+and the anchors of a part are those of the Hamming code of length 15 joined to its other bits. Within each component
+of candidates the sets of shingles themselves are then compared, so nothing below 0.8 links.
+
 Edge cases: a null or empty text has fingerprint zero. Repeated rows and ids are kept, a row each. A row with a null id
 links as any other; component ids are smallest non-null ids, null where a component has none. No rows give no rows.
 Columns other than ``doc_id`` and ``text`` are not looked at by the fingerprints.
@@ -22,6 +29,7 @@ Columns other than ``doc_id`` and ``text`` are not looked at by the fingerprints
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,94 +40,142 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import bounded_batches, components, cut, dealt, groups, joined, picked, spanning, split_hot
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
+#: Words of the shingles of near copies, and their least similarity.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of one anchor that are compared in one task without dealing them out.
 MOST = 8192
+#: Texts of one component whose shingles are compared in one task without dealing them out.
+SETS = 128
 #: Shingles whose bits are counted at once, which bounds the memory for a text of any length.
 AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+@dataclass(frozen=True)
+class Cover:
+    """Bits that linked fingerprints may differ in, and the parts (offset, width, r) of a fingerprint, one of which then
+    differs in at most 2. A part's anchors are the words of the Hamming code of length 2 ** r - 1 on its low bits, with
+    any other bits: covering radius 1."""
+
+    threshold: int
+    parts: tuple[tuple[int, int, int], ...]
+
+    def __post_init__(self):
+        if self.threshold >= 3 * len(self.parts):
+            raise ValueError("no part is sure to differ in 2 bits or fewer")
+
+
+EXACT = Cover(THRESHOLD, ((0, 32, 5), (32, 32, 5)))
+NEAR = Cover(8, ((0, 21, 4), (21, 21, 4), (42, 22, 4)))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles, some at a time."""
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    count = max(1, len(words) - SHINGLE + 1)
-    starts, ends = starts[:count].tolist(), ends[min(SHINGLE, len(words)) - 1 :].tolist()
-    hashed, bits = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    count = max(1, len(words) - size + 1)
+    starts, ends = starts[:count].tolist(), ends[min(size, len(words)) - 1 :].tolist()
+    hashed = xxhash.xxh64_intdigest
     for at in range(0, count, AT_ONCE):
-        some = np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts[at : at + AT_ONCE], ends[at : at + AT_ONCE], strict=True)), "<u8")
+        yield np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts[at : at + AT_ONCE], ends[at : at + AT_ONCE], strict=True)), "<u8")
+
+
+def distinct_hashes(text: str | None, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """The hashes of a text's distinct shingles, ascending."""
+    parts = [np.unique(x) for x in shingle_hashes(words_of(text), size)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def majority(hashes: Iterator[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes."""
+    bits, count = np.zeros(64, np.int64), 0
+    for some in hashes:
         bits += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        count += len(some)
     return int(np.packbits(2 * bits > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, *also: str) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long), a row per document; ``also``: long columns to keep."""
+def fingerprint(text: str | None) -> int:
+    """The unsigned 64-bit fingerprint of one text."""
+    return majority(shingle_hashes(words_of(text), SHINGLE))
+
+
+def near_fingerprint(text: str | None) -> tuple[int, int]:
+    """The fingerprint of distinct two-word shingles, and a hash of the words: equal for texts of the same words."""
+    words = words_of(text)
+    return majority(iter([distinct_hashes(text, 2)])), xxhash.xxh64_intdigest(b" ".join(words), SEED)
+
+
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """``doc_id`` and ``fp`` (the fingerprint as a signed long), a row per document."""
     bounded_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, batch.num_rows)
-            kept = [batch.column(c) for c in ("doc_id", *also)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found.view(np.int64))], ["doc_id", *also, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    rows = picked(documents, ("doc_id", "long"), ("text", "string"), *((c, "long") for c in also))
-    return rows.mapInArrow(run, "".join(f"{c} long, " for c in ("doc_id", *also)) + "fp long")
+    return picked(documents, ("doc_id", "long"), ("text", "string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _syndromes() -> np.ndarray:
-    """By byte of a 32-bit half and value: the exclusive or of the places, from 1, of the bits that are set."""
-    value = np.arange(256)
-    return np.stack([np.bitwise_xor.reduce(np.stack([np.where(value >> bit & 1, byte * 8 + bit + 1 & 31, 0) for bit in range(8)])) for byte in range(4)])
+def _syndromes(width: int, r: int) -> np.ndarray:
+    """By byte of a part and value: the exclusive or of the places, from 1, of the bits set inside the Hamming code."""
+    value, length = np.arange(256), (1 << r) - 1
+    place = lambda bit: bit + 1 if bit < length else 0
+    return np.stack([np.bitwise_xor.reduce(np.stack([np.where(value >> bit & 1, place(byte * 8 + bit), 0) for bit in range(8)])) for byte in range(-(-width // 8))])
 
 
-def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All anchors within the covering radius plus 1 of each 32-bit half: indices into ``half`` and the anchors.
-
-    Bit 31 is the bit outside the Hamming code (its place, 32, counts 0 in the syndrome).
-    """
-    half = half.astype(np.int64)
-    table = _syndromes()
-    s = table[0][half & 255] ^ table[1][half >> 8 & 255] ^ table[2][half >> 16 & 255] ^ table[3][half >> 24 & 255]
-    flip = np.concatenate(([0], 1 << np.arange(31, dtype=np.int64)))  # by place
-    home, every = half ^ flip[s], np.arange(len(half))
-    at, found = [every, every], [home, home ^ 1 << 31]
-    for i in range(1, 32):  # the two flips i and i ^ s lead to a code word at distance 2
+def anchors(part: np.ndarray, width: int = 32, r: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """All anchors within the covering radius plus 1 of each part: indices into ``part`` and the anchors."""
+    part, length = part.astype(np.int64), (1 << r) - 1
+    s = np.zeros(len(part), np.int64)
+    for byte, table in enumerate(_syndromes(width, r)):
+        s ^= table[part >> 8 * byte & 255]
+    flip = np.concatenate(([0], 1 << np.arange(length, dtype=np.int64)))  # by place
+    home, every = part ^ flip[s], np.arange(len(part))
+    free = [home ^ 1 << bit for bit in range(length, width)]
+    at, found = [every] * (1 + len(free)), [home, *free]
+    for i in range(1, length + 1):  # the two flips i and i ^ s lead to a code word at distance 2
         j = i ^ s
         ok = np.flatnonzero(i < j)
         at.append(every[ok])
-        found.append(half[ok] ^ flip[i] ^ flip[j[ok]])
+        found.append(part[ok] ^ flip[i] ^ flip[j[ok]])
     return np.concatenate(at), np.concatenate(found)
 
 
-def at_anchors(distinct: DataFrame) -> DataFrame:
-    """``anchor`` (with the half's number as its bit 32) and ``fp`` for every distinct ``fp``."""
+def at_anchors(distinct: DataFrame, cover: Cover = EXACT) -> DataFrame:
+    """``anchor`` (with the part's number above its bits) and ``fp`` for every distinct ``fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy()
-            for side, half in enumerate((fp & 0xFFFFFFFF, fp >> 32 & 0xFFFFFFFF)):
-                at, found = anchors(half)
-                yield pa.RecordBatch.from_arrays([pa.array(found | side << 32), pa.array(fp[at])], ["anchor", "fp"])
+            for number, (offset, width, r) in enumerate(cover.parts):
+                at, found = anchors(fp >> offset & (1 << width) - 1, width, r)
+                yield pa.RecordBatch.from_arrays([pa.array(found | number << 32), pa.array(fp[at])], ["anchor", "fp"])
 
     return distinct.select("fp").mapInArrow(run, "anchor long, fp long")
 
 
-def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints that span what links at :data:`THRESHOLD` bits or fewer."""
+def links(distinct: DataFrame, most: int = MOST, cover: Cover = EXACT) -> DataFrame:
+    """Links ``(a, b)`` between distinct fingerprints that span what links under ``cover``."""
+    threshold = cover.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in groups(batches, ["anchor", "part"]):
             fp = table.column("fp").to_numpy().view(np.uint64)
             sizes = np.diff(at)
             two = at[:-1][sizes == 2]
-            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= THRESHOLD]
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= threshold]
             a, b = [fp[two]], [fp[two + 1]]
             for start, end in zip(at[:-1][sizes > 2].tolist(), at[1:][sizes > 2].tolist(), strict=True):
                 own = fp[start:end]
-                near = lambda some, others, own=own: (np.bitwise_count(own[some][:, None] ^ own[others][None, :]) <= THRESHOLD).any(0)
+                near = lambda some, others, own=own: (np.bitwise_count(own[some][:, None] ^ own[others][None, :]) <= threshold).any(0)
                 if found := spanning(len(own), near):
                     x, y = np.array(found).T
                     a.append(own[x])
@@ -128,14 +184,14 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    meeting = split_hot(at_anchors(distinct), "anchor", "fp", most)
-    return dealt(meeting, "anchor", "part").mapInArrow(run, "a long, b long")
+    meeting = split_hot(at_anchors(distinct, cover), "anchor", "fp", most)
+    return dealt(meeting.select("anchor", "part", "fp"), "anchor", "part").mapInArrow(run, "a long, b long")
 
 
-def fingerprint_components(known: DataFrame, most: int = MOST) -> DataFrame:
+def fingerprint_components(known: DataFrame, most: int = MOST, cover: Cover = EXACT) -> DataFrame:
     """``fp, first, root, component_id`` for every distinct fingerprint of ``known(doc_id, fp)``."""
     distinct = cut(known.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    root = components(links(distinct, most)).withColumnRenamed("id", "fp")
+    root = components(links(distinct, most, cover)).withColumnRenamed("id", "fp")
     of = distinct.join(root, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = of.groupBy("root").agg(F.min("first").alias("component_id"))
     return cut(of.join(lowest, "root"))
@@ -148,19 +204,74 @@ def near_duplicates(documents: DataFrame, most: int = MOST) -> DataFrame:
     return known.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(documents: DataFrame, most: int = MOST) -> DataFrame:
-    """The documents without all but one of each component: the row with its smallest doc_id (nulls last) stays.
+def similar(sets: list[np.ndarray], some: np.ndarray, others: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """For each of ``others``, whether its set is similar to that of any of ``some``."""
+    found = np.zeros(len(others), bool)
+    for k, other in enumerate(others.tolist()):
+        b = sets[other]
+        for one in some.tolist():
+            a = sets[one]
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)):
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both >= similarity * (len(a) + len(b) - both):
+                    found[k] = True
+                    break
+    return found
 
-    Rows are told apart by their place in the scan, which is the same each time the same files are read; the rows that go,
-    not the texts that stay, are what the scan is joined with.
+
+def near_links(texts: DataFrame, most: int = SETS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(a, b)`` that span the similar ones among ``texts(root, cid, text)`` of the same root."""
+    bounded_batches(texts.sparkSession, 512)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [distinct_hashes(x.as_py()).tobytes() for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("cid"), pa.array(found, pa.binary())], ["root", "cid", "set"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in groups(batches, ["root", "part"]):
+            cid, packed = table.column("cid").to_numpy(), table.column("set")
+            a, b = [], []
+            for start, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own = [np.frombuffer(x.as_py(), np.uint64) for x in packed.slice(start, end - start)]
+                for x, y in spanning(len(own), lambda some, others, own=own: similar(own, some, others, similarity)):
+                    a.append(cid[start + x])
+                    b.append(cid[start + y])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    parts = split_hot(cut(texts.select("root", "cid", "text").mapInArrow(sets, "root long, cid long, set binary")), "root", "cid", most)
+    return dealt(parts.select("root", "part", "cid", "set"), "root", "part").mapInArrow(compare, "a long, b long")
+
+
+def deduplicated(documents: DataFrame, most: int = MOST, sets: int = SETS) -> DataFrame:
+    """The documents without all but one of each group of near copies: the row with its smallest doc_id (nulls last) stays.
+
+    Texts of the same words are one class; texts without words are one too. Rows are told apart by their place in the scan,
+    which is the same each time the same files are read; the rows that go, not the texts that stay, are what the
+    scan is joined with.
     """
+    bounded_batches(documents.sparkSession)
     placed = documents.withColumn("_row", F.monotonically_increasing_id())
-    known = cut(fingerprints(placed, "_row"))
-    of = fingerprint_components(known, most)
-    tied = known.join(of, "fp").select("_row", "root", "doc_id")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
-    kept = tied.groupBy("root").agg(F.min(order)["_row"].alias("_row"))
-    gone = cut(tied.select("_row").join(kept, "_row", "left_anti"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([near_fingerprint(x.as_py()) for x in batch.column("text")], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["_row", "doc_id", "fp", "words"])
+
+    slim = picked(placed, ("_row", "long"), ("doc_id", "long"), ("text", "string"))
+    known = cut(slim.mapInArrow(run, "_row long, doc_id long, fp long, words long"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    classes = cut(known.groupBy("fp", "words").agg(F.min(order).alias("best")).withColumn("cid", F.monotonically_increasing_id()))
+    root = fingerprint_components(classes.select("fp", F.col("best.doc_id").alias("doc_id")), most, NEAR).select("fp", "root")
+    rooted = classes.join(root, "fp").select("root", "cid", F.col("best._row").alias("_row"))
+    many = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    asked = cut(rooted.join(many, "root", "left_semi"))
+    texts = joined(slim.select("_row", "text"), asked, "_row", "inner", asked.count())
+    linked = components(near_links(texts, sets)).withColumnRenamed("id", "cid").withColumnRenamed("root", "group")
+    grouped = classes.join(linked, "cid", "left").withColumn("group", F.coalesce("group", "cid"))
+    kept = grouped.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
+    gone = cut(known.select("_row").join(kept, "_row", "left_anti"))
     return joined(placed, gone, "_row", "left_anti", gone.count()).drop("_row")
 
 
