@@ -19,7 +19,7 @@ DANGER = r"^ *[=+\-@\t]"
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 BLANK = r"[\s\x1C-\x1F]"
 NUMERIC = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
-INFINITE = r"(?i)^[+-]?inf(?:inity)?$"
+INFINITE = r"^[+-]?inf(?:inity)?$"
 
 
 def present(text: Column) -> Column:
@@ -33,8 +33,9 @@ def strip(text: Column) -> Column:
 
 
 def hygiene(text: Column) -> Column:
-    """A text field without control characters and white space at its ends; null becomes empty."""
-    return strip(F.regexp_replace(present(text), CONTROLS, ""))
+    """A text field without control characters and white space at its ends; null becomes empty. Clean texts are only looked at."""
+    found = present(text)
+    return F.when(found.rlike(rf"(?U)^{BLANK}|{BLANK}$|{CONTROLS}"), strip(F.regexp_replace(found, CONTROLS, ""))).otherwise(found)
 
 
 def missing_to_null(text: Column) -> Column:
@@ -49,28 +50,24 @@ def to_number(text: Column, decimal: str = ".", thousands: str | None = None) ->
     is noted and dropped; (x) becomes -x; ``thousands`` and currency signs go; ``decimal`` becomes a point. A debit is then
     negative, a credit positive. Without ``thousands`` a text such as 1,234.56 is not a number.
     """
-    s = F.replace(strip(text.cast("string")), F.lit("\u2212"), F.lit("-"))
-    s = F.when(s.endswith("-"), F.concat(F.lit("-"), s.substr(F.lit(1), F.length(s) - 1))).otherwise(s)
+    raw = text.cast("string")
+    s = F.regexp_replace(F.translate(strip(raw), "\u2212", "-"), r"(?s)^(.*)-$", "-$1")
     credit, debit = F.upper(s).rlike(CREDIT), F.upper(s).rlike(DEBIT)
     s = F.regexp_replace(F.regexp_replace(s, rf"(?i)\s*{CREDIT}", ""), rf"(?i)\s*{DEBIT}", "")
-    bracketed = s.startswith("(") & s.endswith(")")
-    s = F.when(bracketed, F.concat(F.lit("-"), strip(s.substr(F.lit(2), F.greatest(F.length(s) - 2, F.lit(0)))))).otherwise(s)
+    s = F.regexp_replace(s, r"(?s)^\((.*)\)$", "-$1")
     if thousands:
         s = F.replace(s, F.lit(thousands), F.lit(""))
     s = F.regexp_replace(s, CURRENCY, "")
     if decimal and decimal != ".":
         s = F.replace(s, F.lit(decimal), F.lit("."))
-    s = strip(s)
-    infinite = F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    value = F.when(s.rlike(NUMERIC), s.try_cast("double")).when(s.rlike(INFINITE), infinite)
-    value = F.when(debit, -F.abs(value)).otherwise(value)
-    return F.when(credit, F.abs(value)).otherwise(value)
+    s = F.regexp_replace(strip(s), r"^-\s+", "-")
+    value = F.regexp_extract(s, rf"(?i){NUMERIC}|{INFINITE}", 0).try_cast("double")
+    value = F.when(credit, F.abs(value)).when(debit, -F.abs(value)).otherwise(value)
+    if decimal == "." and thousands != ".":  # most amounts are plain numbers, which the steps above leave as they are
+        return F.when(raw.rlike(NUMERIC), raw.try_cast("double")).otherwise(value)
+    return value
 
 
-#: Java patterns by what a date looks like; day and month stand for the order that holds.
-ISO = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.S", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy HH:mm", "d/M/yyyy HH:mm:ss", "d/M/yy", "d-M-yy", "d.M.yy")
-MONTH_FIRST = ("M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yyyy HH:mm", "M/d/yyyy HH:mm:ss", "M/d/yy", "M-d-yy", "M.d.yy")
 NAMED = ("d MMM yyyy", "d-MMM-yyyy", "MMM d yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy")
 
 #: Strftime directives and their Java patterns.
@@ -90,24 +87,27 @@ def java_format(fmt: str) -> str:
     return out
 
 
-def parse_date(text: Column, dayfirst: bool | Column = False, fmt: str | None = None) -> Column:
+def parse_date(text: Column, dayfirst: bool = False, fmt: str | None = None) -> Column:
     """A timestamp without a zone, null if the text isn't a date.
 
-    With ``fmt`` (strftime) only that format holds. Otherwise ISO forms come first, and are never swapped; then d/m/y or
-    m/d/y by ``dayfirst``, and the other one where a part above 12 leaves no choice. A zone is dropped.
+    With ``fmt`` (strftime) only that format holds. Otherwise years in front are ISO, and never swapped; then d/m/y or m/d/y
+    by ``dayfirst``, and the other one where a part above 12 leaves no choice. Years of two digits are 1969 to 2068. A zone is
+    dropped. Texts are rewritten and cast, which costs no exceptions for what doesn't fit.
     """
     s = strip(text.cast("string"))
-    read = lambda patterns: [F.try_to_timestamp(s, F.lit(p)) for p in patterns]
     if fmt:
         return F.try_to_timestamp(s, F.lit(java_format(fmt))).cast("timestamp_ntz")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?<=\d{2}:\d{2})\s*(?:Z|[+-]\d{2}:?\d{2})$|(?<=\d)Z$", ""), r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
-    day, month, iso, named = F.coalesce(*read(DAY_FIRST)), F.coalesce(*read(MONTH_FIRST)), F.coalesce(*read(ISO)), F.coalesce(*read(NAMED))
-    if isinstance(dayfirst, Column):
-        local = F.when(dayfirst, F.coalesce(day, month)).otherwise(F.coalesce(month, day))
-    else:
-        local = F.coalesce(day, month) if dayfirst else F.coalesce(month, day)
-    found = F.when(s.rlike(r"^\d{4}"), iso).when(s.rlike(r"^\d{1,2}[/.\-]\d"), local).when(s.rlike(r"[A-Za-z]"), named)
-    return found.cast("timestamp_ntz")
+    s = F.regexp_replace(s, r"^(.*\d:\d{2}(?:\.\d+)?)\s*(?:Z|[+-]\d{2}:?\d{2})$", "$1")
+    for years, century in ((r"69|[7-9]\d", "19"), (r"[0-5]\d|6[0-8]", "20")):
+        s = F.regexp_replace(s, rf"^(\d{{1,2}}[/.\-]\d{{1,2}}[/.\-])({years})(?=[ T]|$)", f"$1{century}$2")
+    clock = r"((?:[ T]\d{1,2}:\d{2}.*)?)$"
+    local = rf"^(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{4}}){clock}"
+    cast = lambda pattern, order: F.regexp_replace(s, pattern, order).try_cast("timestamp_ntz")
+    iso = cast(rf"^(\d{{4}})[-/]?(\d{{1,2}})[-/]?(\d{{1,2}}){clock}", "$1-$2-$3$4")
+    day, month = cast(local, "$3-$2-$1$4"), cast(local, "$3-$1-$2$4")
+    named = F.coalesce(*(F.try_to_timestamp(s, F.lit(p)).cast("timestamp_ntz") for p in NAMED))
+    found = F.when(s.rlike(r"^\d{4}(?:[-/]\d{1,2}[-/]\d{1,2}|\d{4})(?:[ T]|$)"), iso)
+    return found.when(s.rlike(local), F.coalesce(day, month) if dayfirst else F.coalesce(month, day)).when(s.rlike("[A-Za-z]{3}"), named)
 
 
 def amount_2dp(amount: Column) -> Column:

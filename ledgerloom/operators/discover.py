@@ -65,8 +65,9 @@ def candidates(every: DataFrame, min_count: int = 5, min_amount: float | None =
     return out if top_k is None else out.limit(top_k)
 
 
-#: Words of company names that would match too much.
+#: Words of company names that would match too much, and what isn't kept in words and titles.
 STOPWORDS = ("LTD", "LLC", "PLC", "INC", "GROUP", "COMPANY", "CO", "SAS", "GMBH", "CORP")
+NOT_WORD, NOT_TITLE = r"[^A-Z0-9&]+", r"[^A-Z0-9&_ '-]+"
 #: Column names under which candidates come, by what they are.
 ALIASES = {
     "fingerprint": ("counterparty_fingerprint", "fingerprint"),
@@ -92,14 +93,14 @@ def read_candidate(row: Mapping[str, object]) -> dict[str, str]:
 
 def pattern_word(name: str) -> str | None:
     """The longest word, of 3 or more letters, digits or &, to match a counterparty by; ties by alphabet."""
-    words = [w for w in re.split(r"[^A-Z0-9&]+", name.upper()) if len(w) >= 3 and not w.isdigit() and re.search(r"[A-Z0-9]", w)]
+    words = [w for w in re.split(NOT_WORD, name.upper()) if len(w) >= 3 and not w.isdigit() and re.search(r"[A-Z0-9]", w)]
     words = [w for w in words if w not in STOPWORDS] or words
     return min(words, key=lambda w: (-len(w), w), default=None)
 
 
 def title_of(name: str) -> str:
     """An upper-case title of at most 64 characters."""
-    return re.sub(r"\s+", " ", re.sub(r"[^A-Z0-9&_ '-]+", " ", name.upper())).strip()[:64] or "CANDIDATE"
+    return re.sub(r"\s+", " ", re.sub(NOT_TITLE, " ", name.upper())).strip()[:64] or "CANDIDATE"
 
 
 def known_patterns(text: str) -> tuple[list[str], list[str]]:

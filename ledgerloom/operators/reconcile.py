@@ -13,6 +13,7 @@ from ledgerloom.functions.text import amount_2dp, java_format, parse_date, prese
 
 CONTEXT = ("date", "amount", "counterparty", "memo")
 ORPHAN = (*CONTEXT, "category")
+#: Fixed value: a date in local order.
 LOCAL_DATE = r"^\s*(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2,4})\s*$"
 EXAMPLES, REASON = 5, 200
 

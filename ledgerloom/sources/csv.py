@@ -95,6 +95,7 @@ class CsvOptions:
     strict: bool = False
     missing: bool = True  # texts such as NA and null are missing values
     ragged: str = "drop"  # rows with another number of fields: "drop" or "error"
+    multiline: bool = True  # quoted fields may hold line ends; without, large files are read by many tasks
 
 
 def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(), order: bool = False) -> DataFrame:
@@ -109,7 +110,7 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(),
     if options.strict:
         check_delimiter(text, delimiter)
     java = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
-    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", java).option("quote", '"').option("escape", '"').option("multiLine", True)
+    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", java).option("quote", '"').option("escape", '"').option("multiLine", options.multiline)
     names = reader.option("inferSchema", False).csv(path).columns
     names = [x.removeprefix("﻿") for x in names]
     if (faults := check_headers(names)) and options.strict:
@@ -216,8 +217,19 @@ def guarded_columns(df: DataFrame) -> DataFrame:
     return df.select(*((guarded(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")) for f in df.schema.fields))
 
 
+def _as_written(field: T.StructField):
+    """A column as CSV has it: nested values as JSON, a time of midnight as its day."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(column).alias(field.name)
+    if isinstance(field.dataType, T.TimestampNTZType):
+        day = F.date_format(column, "yyyy-MM-dd")
+        return F.when(column == F.date_trunc("day", column), day).otherwise(F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias(field.name)
+    return column
+
+
 def write_csv(df: DataFrame, path: str, guard: bool = True, mode: str = "overwrite") -> None:
     """Writes a folder of CSV files with headers; text that a spreadsheet would take for a formula gets a quote."""
     out = guarded_columns(df) if guard else df
-    plain = out.select(*((F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{f.name}`")) for f in out.schema.fields))
+    plain = out.select(*map(_as_written, out.schema.fields))
     plain.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
