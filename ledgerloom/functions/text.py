@@ -68,7 +68,7 @@ def to_number(text: Column, decimal: str = ".", thousands: str | None = None) ->
     return value
 
 
-NAMED = ("d MMM yyyy", "d-MMM-yyyy", "MMM d yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 #: Strftime directives and their Java patterns.
 DIRECTIVES = {"%Y": "yyyy", "%y": "yy", "%m": "M", "%d": "d", "%H": "H", "%I": "h", "%M": "m", "%S": "s", "%f": "SSSSSS", "%b": "MMM", "%B": "MMMM", "%p": "a", "%%": "%"}
@@ -105,7 +105,11 @@ def parse_date(text: Column, dayfirst: bool = False, fmt: str | None = None) ->
     cast = lambda pattern, order: F.regexp_replace(s, pattern, order).try_cast("timestamp_ntz")
     iso = cast(rf"^(\d{{4}})[-/]?(\d{{1,2}})[-/]?(\d{{1,2}}){clock}", "$1-$2-$3$4")
     day, month = cast(local, "$3-$2-$1$4"), cast(local, "$3-$1-$2$4")
-    named = F.coalesce(*(F.try_to_timestamp(s, F.lit(p)).cast("timestamp_ntz") for p in NAMED))
+    spelled = r"^(\d{1,2})[ -]([A-Za-z]{3,9})[ -](\d{4})$"
+    word = F.regexp_replace(s, r"^([A-Za-z]{3,9}) (\d{1,2}),? (\d{4})$", "$2 $1 $3")
+    at = F.array_position(F.lit([*MONTHS, *(m[:3] for m in MONTHS)]), F.lower(F.regexp_extract(word, spelled, 2)))
+    number = F.when(at > 0, F.pmod(at - 1, F.lit(12)) + 1).cast("string")
+    named = F.concat(F.regexp_extract(word, spelled, 3), F.lit("-"), number, F.lit("-"), F.regexp_extract(word, spelled, 1)).try_cast("timestamp_ntz")
     found = F.when(s.rlike(r"^\d{4}(?:[-/]\d{1,2}[-/]\d{1,2}|\d{4})(?:[ T]|$)"), iso)
     return found.when(s.rlike(local), F.coalesce(day, month) if dayfirst else F.coalesce(month, day)).when(s.rlike("[A-Za-z]{3}"), named)
 

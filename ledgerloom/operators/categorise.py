@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.compiler import TEXT_STATE, WATCHED, compile_rules
+from ledgerloom.plans.compiler import TEXT_STATE, WATCHED, compile_rules, constant
 from ledgerloom.plans.rules import Rule
 
 AUDIT_CAP = 5000
@@ -28,7 +28,7 @@ def categorise(df: DataFrame, rules: Sequence[Rule], attribution: bool = False,
 
 def rule_name(names: Sequence[str], place: Column) -> Column:
     """The name of the rule at ``place``, which is never null."""
-    return F.element_at(F.lit(list(names)), place + 1) if names else F.lit("")
+    return F.element_at(constant(list(names), "array<string>"), place + 1) if names else F.lit("")
 
 
 def last_rule(names: Sequence[str], fired: Column) -> Column:
@@ -78,7 +78,7 @@ def audit(df: DataFrame, rules: Sequence[Rule], mode: str = "lite", key: str = "
         for f in fields:
             changed = changed | F.col(f"changes.{f}").isNotNull()
         return out.where(changed)
-    sources = lambda part: F.array(*(F.lit([x.source for x in getattr(rule, part)]).cast("array<string>") for rule in rules))
+    sources = lambda part: constant([[x.source for x in getattr(rule, part)] for rule in rules], "array<array<string>>")
     return out.withColumn("match", F.element_at(sources("match"), F.col("rule_idx") + 1)).withColumn("set", F.element_at(sources("set"), F.col("rule_idx") + 1))
 
 

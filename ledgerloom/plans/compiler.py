@@ -6,13 +6,16 @@ writes. Within a stratum all conditions depend on its input alone; one array of
 computed, and every field is then set from that array at once. Most rule lists are one stratum, whatever their length.
 
 Where the ids come from depends on the shape of a rule, as generated code has a size limit and planning time grows with the
-expressions: a long list of rules of one condition on the same text field becomes one higher-order filter over a literal
-array (prefix, suffix, contains) or one lookup by value (equality); the rest are one ``when`` each.
+expressions. Many rules of one condition on the same text field become data: equal values, and prefixes and suffixes of the
+same length, are looked up in a literal hash table; parts of a text are one higher-order filter over a literal array; the rest are
+one ``when`` each. What rules write is looked up by their id in literal arrays, so a row's cost follows the rules that fire.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -25,12 +28,19 @@ from ledgerloom.plans.rules import Condition, Rule, RuleError
 
 #: A shape with at least so many rules is evaluated from data instead of one expression a rule.
 MANY = 24
+#: Prefixes and suffixes of up to so many lengths are looked up by length; of more, they are filtered one by one.
+LENGTHS = 12
 TEXT_STATE = ("category", "flags", "memo", "status")
 WATCHED = (*TEXT_STATE[:2], "memo", "status", "exclude")
 
 State = dict[str, Column]
 
 
+def constant(value: object, kind: str) -> Column:
+    """A literal of any type, in one call; the optimizer folds it."""
+    return F.from_json(F.lit(json.dumps({"x": value})), f"struct<x:{kind}>")["x"]
+
+
 def strata(rules: Sequence[Rule]) -> list[list[tuple[int, Rule]]]:
     """The rules that can fire, with their places in the list, cut where one reads what an earlier one writes."""
     found: list[list[tuple[int, Rule]]] = []
@@ -90,43 +100,53 @@ def condition_column(condition: Condition, state: State, lowered: State) -> Colu
     return {"equal": lambda: low == F.lit(value), "prefix": lambda: low.startswith(value), "suffix": lambda: low.endswith(value), "contains": lambda: low.contains(value)}[kind]()
 
 
-def _hits(values: Column, ids: Column, test: Callable[[Column], Column]) -> Column:
-    """The ids whose values pass ``test``."""
-    pairs = F.filter(F.arrays_zip(values.alias("v"), ids.alias("i")), lambda x: test(x["v"]))
+def _filtered(found: list[tuple[int, str]], test: Callable[[Column], Column]) -> Column:
+    """The ids whose values pass ``test``, one by one."""
+    pairs = F.filter(constant([{"v": v, "i": i} for i, v in found], "array<struct<v:string,i:int>>"), lambda x: test(x["v"]))
     return F.transform(pairs, lambda x: x["i"])
 
 
+def _looked_up(found: list[tuple[int, str]], key: Column) -> Column:
+    """The ids whose value is ``key``, from a hash table of short buckets."""
+    by_value: dict[str, list[int]] = defaultdict(list)
+    for place, value in found:
+        by_value[value].append(place)
+    size = 2 * len(by_value) + 1
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for value, places in by_value.items():
+        buckets[zlib.crc32(value.encode()) % size].append({"v": value, "i": places})
+    table = constant(buckets, "array<array<struct<v:string,i:array<int>>>>")
+    bucket = F.element_at(table, (F.crc32(key.cast("binary")) % size).cast("int") + 1)
+    return F.flatten(F.transform(F.filter(bucket, lambda x: x["v"] == key), lambda x: x["i"]))
+
+
+def _from_data(kind: str, found: list[tuple[int, str]], low: Column) -> list[Column]:
+    """Arrays of the ids of rules of one shape that fire."""
+    lengths = sorted({len(value) for _, value in found})
+    if kind == "equal":
+        return [_looked_up(found, low)]
+    if kind == "contains" or len(lengths) > LENGTHS:
+        return [_filtered(found, {"prefix": low.startswith, "suffix": low.endswith, "contains": low.contains}[kind])]
+    end = (lambda n: F.substring(low, 1, n)) if kind == "prefix" else (lambda n: F.right(low, F.lit(n)))
+    return [_looked_up([x for x in found if len(x[1]) == n], end(n)) for n in lengths]
+
+
 def fired_ids(stratum: list[tuple[int, Rule]], state: State, lowered: State) -> Column:
     """The ids, ascending, of the rules of a stratum that fire."""
     grouped: dict[tuple[str, str], list[tuple[int, str]]] = defaultdict(list)
     for place, rule in stratum:
-        if len(rule.match) == 1 and rule.match[0].op != "in" and rule.match[0].field in state and not (rule.match[0].field == "amount" and rule.match[0].op == "=="):
-            kind, value = _shape_of(rule.match[0])
+        first = rule.match[0]
+        if len(rule.match) == 1 and first.op != "in" and first.field in state and not (first.field == "amount" and first.op == "=="):
+            kind, value = _shape_of(first)
             if kind != "general":
-                grouped[rule.match[0].field, kind].append((place, value))
-    grouped = {key: found for key, found in grouped.items() if len(found) >= MANY}
-    dealt = {place for found in grouped.values() for place, _ in found}
-    parts = []
-    for (name, kind), found in sorted(grouped.items()):
-        low = lowered[name]
-        if kind == "equal":
-            by_value: dict[str, list[int]] = defaultdict(list)
-            for place, value in found:
-                by_value[value].append(place)
-            values, ids = F.lit(list(by_value)), F.array(*(F.lit(x) for x in by_value.values()))
-            at = F.array_position(values, low).cast("int")
-            parts.append(F.when(at > 0, F.element_at(ids, F.greatest(at, F.lit(1)))).otherwise(F.array().cast("array<int>")))
-        else:
-            values = F.lit([value for _, value in found])
-            ids = F.lit([place for place, _ in found])
-            test: Callable[[Column], Column] = {"prefix": low.startswith, "suffix": low.endswith, "contains": low.contains}[kind]
-            parts.append(_hits(values, ids, test))
+                grouped[first.field, kind].append((place, value))
+    many = {key: found for key, found in grouped.items() if len(found) >= MANY}
+    dealt = {place for found in many.values() for place, _ in found}
+    parts = [part for (name, kind), found in sorted(many.items()) for part in _from_data(kind, found, lowered[name])]
     single = [F.when(all_of([condition_column(c, state, lowered) for c in rule.match]), F.lit(place)) for place, rule in stratum if place not in dealt]
-    if single:
-        parts.append(F.array_compact(F.array(*single)))
     if not parts:
-        return F.array().cast("array<int>")
-    return parts[0] if len(parts) == 1 and single else F.array_sort(F.concat(*parts)) if len(parts) > 1 else F.array_sort(parts[0])
+        return F.array_compact(F.array(*single))
+    return F.array_sort(F.concat(*parts, *([F.array_compact(F.array(*single))] if single else [])))
 
 
 def _appended(current: Column, value: Column) -> Column:
@@ -147,40 +167,30 @@ def net_effect(rule: Rule, field: str) -> tuple[str | None, list[str]]:
     return assigned, added
 
 
-def _slot(places: list[int], fired: Column) -> Column:
-    """The ids of ``fired`` that are among ``places``."""
-    return F.array_intersect(fired, F.lit(places).cast("array<int>"))
+def _by_rule(size: int, values: dict[int, object], kind: str) -> Column:
+    """A literal array of a value for each rule id, null where there is none."""
+    return constant([values.get(k) for k in range(size)], f"array<{kind}>")
 
 
-def _lookup(places: list[int], values: Column, place: Column) -> Column:
-    """The value that belongs to ``place``, null if it isn't one of ``places``."""
-    at = F.array_position(F.lit(places).cast("array<int>"), place).cast("int")
-    return F.when(at > 0, F.element_at(values, F.greatest(at, F.lit(1))))
+def _effects(fired: Column, values: Column) -> Column:
+    """The values of the rules that fired, in order, without those that have none."""
+    return F.filter(F.transform(fired, lambda i: F.element_at(values, i + 1)), lambda x: x.isNotNull())
 
 
-def _text_field(field: str, stratum: list[tuple[int, Rule]], old: Column, fired: Column) -> Column:
+def _text_field(field: str, size: int, stratum: list[tuple[int, Rule]], old: Column, fired: Column) -> Column:
     effects = {place: net_effect(rule, field) for place, rule in stratum if field in rule.writes}
-    if not effects:
-        return old
-    places = list(effects)
     if field == "flags":
-        values = F.array(*(F.lit(added) for _, added in effects.values()))
-        new = F.flatten(F.transform(_slot(places, fired), lambda i: _lookup(places, values, i)))
-        return F.when(F.size(_slot(places, fired)) > 0, F.array_join(F.array_distinct(F.concat(tokens(old), new)), " ")).otherwise(old)
+        added = F.flatten(_effects(fired, _by_rule(size, {k: a for k, (_, a) in effects.items()}, "array<string>")))
+        return F.when(F.size(added) > 0, F.array_join(F.array_distinct(F.concat(tokens(old), added)), " ")).otherwise(old)
     if not any(added for _, added in effects.values()):
-        last = F.array_max(_slot(places, fired))
-        return F.coalesce(_lookup(places, F.array(*(F.lit(value) for value, _ in effects.values())), last), old)
-    steps = F.array(*(F.struct(F.lit(value).cast("string").alias("value"), F.lit(added).cast("array<string>").alias("added")) for value, added in effects.values()))
-    hits = F.transform(_slot(places, fired), lambda i: _lookup(places, steps, i))
-    return F.aggregate(hits, old, lambda now, step: F.aggregate(step["added"], F.coalesce(step["value"], now), _appended))
+        return F.coalesce(F.try_element_at(_effects(fired, _by_rule(size, {k: v for k, (v, _) in effects.items()}, "string")), F.lit(-1)), old)
+    steps = _effects(fired, _by_rule(size, {k: {"value": v, "added": a} for k, (v, a) in effects.items()}, "struct<value:string,added:array<string>>"))
+    return F.aggregate(steps, old, lambda now, step: F.aggregate(step["added"], F.coalesce(step["value"], now), _appended))
 
 
-def _exclude(stratum: list[tuple[int, Rule]], old: Column, fired: Column) -> Column:
-    setters = {place: [a.value for a in rule.set if a.field == "exclude"][-1] for place, rule in stratum if "exclude" in rule.writes}
-    if not setters:
-        return old
-    values = F.array(*(F.lit(bool(x)) for x in setters.values()))
-    return F.coalesce(_lookup(list(setters), values, F.array_max(_slot(list(setters), fired))), old)
+def _exclude(size: int, stratum: list[tuple[int, Rule]], old: Column, fired: Column) -> Column:
+    setters = {place: bool([a.value for a in rule.set if a.field == "exclude"][-1]) for place, rule in stratum if "exclude" in rule.writes}
+    return F.coalesce(F.try_element_at(_effects(fired, _by_rule(size, setters, "boolean")), F.lit(-1)), old)
 
 
 @dataclass(frozen=True)
@@ -218,9 +228,9 @@ class Compiled:
             lowered = {f: F.col(f"_low_{f}") for f in read}
             out = out.withColumn(name(f"fired_{k}"), fired_ids(stratum, state, lowered))
             fired = F.col(f"`{name(f'fired_{k}')}`")
-            new = {name(f): _text_field(f, stratum, F.col(f"`{name(f)}`"), fired) for f in TEXT_STATE if any(f in rule.writes for _, rule in stratum)}
+            new = {name(f): _text_field(f, len(self.rules), stratum, F.col(f"`{name(f)}`"), fired) for f in TEXT_STATE if any(f in rule.writes for _, rule in stratum)}
             if any("exclude" in rule.writes for _, rule in stratum):
-                new[name("exclude")] = _exclude(stratum, F.col(f"`{name('exclude')}`"), fired)
+                new[name("exclude")] = _exclude(len(self.rules), stratum, F.col(f"`{name('exclude')}`"), fired)
             out = (out.withColumns(new) if new else out).drop(*low)
         every = [F.col(f"`{name(f'fired_{k}')}`") for k in range(len(layers))]
         out = out.withColumn(name("fired"), F.concat(*every) if every else F.array().cast("array<int>"))
@@ -228,21 +238,20 @@ class Compiled:
 
     def step(self, state: Column, place: Column, exclude: bool) -> Column:
         """The state (a struct of the watched fields) after the rule ``place``; the rule by rule form, for the audit."""
-        places = [k for k, rule in enumerate(self.rules) if rule.active]
+        places, n = [k for k, rule in enumerate(self.rules) if rule.active], len(self.rules)
+        of = lambda values, kind: F.element_at(_by_rule(n, values, kind), place + 1)
         fields = []
         for field in TEXT_STATE:
-            effects = [net_effect(self.rules[k], field) for k in places]
-            value = _lookup(places, F.array(*(F.lit(v).cast("string") for v, _ in effects)), place)
-            added = _lookup(places, F.array(*(F.lit(a).cast("array<string>") for _, a in effects)), place)
+            effects = {k: net_effect(self.rules[k], field) for k in places}
+            value, added = of({k: v for k, (v, _) in effects.items()}, "string"), of({k: a for k, (_, a) in effects.items()}, "array<string>")
             if field == "flags":
                 new = F.when(F.size(added) > 0, F.array_join(F.array_distinct(F.concat(tokens(state[field]), added)), " ")).otherwise(state[field])
             else:
                 new = F.aggregate(added, F.coalesce(value, state[field]), _appended)
             fields.append(new.alias(field))
         if exclude:
-            setters = [next((a.value for a in reversed(self.rules[k].set) if a.field == "exclude"), None) for k in places]
-            value = _lookup(places, F.array(*(F.lit(x).cast("boolean") for x in setters)), place)
-            fields.append(F.coalesce(value, state["exclude"]).alias("exclude"))
+            setters = {k: bool([a.value for a in self.rules[k].set if a.field == "exclude"][-1]) for k in places if "exclude" in self.rules[k].writes}
+            fields.append(F.coalesce(of(setters, "boolean"), state["exclude"]).alias("exclude"))
         return F.struct(*fields)
 
 
