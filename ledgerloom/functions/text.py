@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.shipping import ship
+
 #: Control and format characters that text fields lose; currency signs and hard spaces that amounts lose.
-CONTROLS = r"[\x00-\x1F\x7F-\x9F​-‍  ﻿]"
-CURRENCY = r"[£€$¥₹  ]"
+CONTROLS = r"[\x00-\x1F\x7F-\x9F\u200B-\u200D\u2028\u2029\uFEFF]"
+CURRENCY = r"[£€$¥₹\u00A0\u202F]"
 #: Endings that mark credits and debits, and leads that a spreadsheet would take for a formula.
 CREDIT, DEBIT = r"(?:CR|CRED|CREDIT)\.?\s*$", r"(?:DR|DEB|DEBIT)\.?\s*$"
 DANGER = r"^ *[=+\-@\t]"
@@ -163,6 +165,7 @@ def with_fingerprint(df: DataFrame, column: str, name: str) -> DataFrame:
 
     Only rows with other than ASCII characters pass through Python, in Arrow batches.
     """
+    ship(df.sparkSession)
     fold = F.pandas_udf(_fold, "string")
     source = F.regexp_replace(present(F.col(column)), CONTROLS, "")
     ascii_only = present(F.col(column)).rlike(r"^\p{ASCII}*$")

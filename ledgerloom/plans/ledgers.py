@@ -29,7 +29,7 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.abs("amount").cast("decimal(18,2)").cast("string")
     grouped = F.format_number(F.abs("amount").cast("decimal(18,2)"), 2)
     european = F.translate(grouped, ",.", ".,")
-    ways = [size, F.concat(F.lit("£"), grouped), F.concat(F.lit("("), size, F.lit(")")), F.concat(size, F.lit("-")), F.concat(size, F.lit("DR")), F.concat(size, F.lit(" CR")), F.concat(F.lit("−"), size), european]
+    ways = [size, F.concat(F.lit("£"), grouped), F.concat(F.lit("("), size, F.lit(")")), F.concat(size, F.lit("-")), F.concat(size, F.lit("DR")), F.concat(size, F.lit(" CR")), F.concat(F.lit("\u2212"), size), european]
     return ledger.withColumn("amount", F.element_at(F.array(*ways), (F.col("_row_id") % 8 + 1).cast("int")))
 
 

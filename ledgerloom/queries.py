@@ -143,7 +143,7 @@ def header_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders_ledger(spark, sf_dir)
-    return rows.withColumns({"amount": F.when(F.col("_row_id") % 101 != 0, F.col("amount")), "date": F.when(F.col("_row_id") % 97 != 0, F.col("date")), "counterparty": F.concat(F.lit(" ​"), "counterparty", F.lit("\x07 "))})
+    return rows.withColumns({"amount": F.when(F.col("_row_id") % 101 != 0, F.col("amount")), "date": F.when(F.col("_row_id") % 97 != 0, F.col("date")), "counterparty": F.concat(F.lit(" \u200B"), "counterparty", F.lit("\x07 "))})
 
 
 def drop_guard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(),
     java = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
     reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", java).option("quote", '"').option("escape", '"').option("multiLine", options.multiline)
     names = reader.option("inferSchema", False).csv(path).columns
-    names = [x.removeprefix("﻿") for x in names]
+    names = [x.removeprefix("\uFEFF") for x in names]
     if (faults := check_headers(names)) and options.strict:
         raise SourceError("; ".join(faults))
     schema = T.StructType([T.StructField(x, T.StringType()) for x in names] + [T.StructField(CORRUPT, T.StringType())])

@@ -51,7 +51,7 @@ def test_comments():
 
 
 def test_rule_text():
-    rules = parse_rules('﻿# top\nRULE "a # b" {\nmatch:\n - memo == x # c\nset:\n - category = "y"\n}\nrule \'q\' { match:\n amount in 1..2\nset:\nflags += t\n}\nrule bare {\n}\n')
+    rules = parse_rules('\uFEFF# top\nRULE "a # b" {\nmatch:\n - memo == x # c\nset:\n - category = "y"\n}\nrule \'q\' { match:\n amount in 1..2\nset:\nflags += t\n}\nrule bare {\n}\n')
     assert [r.name for r in rules] == ["a # b", "q", "bare"]
     assert rules[1].match[0].value == (1.0, 2.0)
     assert inert(rules) == ["bare"]
