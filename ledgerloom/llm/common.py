@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.shipping import ship
+
 #: Rows and bytes of one Arrow batch sent to a Python worker; texts of any length stay within a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches of this session's Python operators by rows and by bytes."""
+    """Bounds the Arrow batches of this session's Python operators by rows and by bytes, and gets the code to executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
