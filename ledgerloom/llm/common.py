@@ -66,6 +66,14 @@ def picked(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as it takes to be no column of ``df``."""
+    present = {c.lower() for c in df.columns}
+    while name.lower() in present:
+        name = f"_{name}"
+    return name
+
+
 def hash_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     """Of ``rows``, for each value of ``by``, the ``most`` with the smallest hash of ``key`` (or a few less, rarely).
 

@@ -199,10 +199,10 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, proportions map<string,double>")
 
 
-def with_language(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents with all their columns, and ``lang_pred`` and ``score`` (which replace columns so named)."""
+def with_language(documents: DataFrame, model: Model, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The documents with all their columns, and the prediction and its score (which replace columns so named)."""
     bounded_batches(documents.sparkSession, 256)
-    rows = documents.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
+    rows = documents.drop(pred, score).withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN])
@@ -211,9 +211,9 @@ def with_language(documents: DataFrame, model: Model) -> DataFrame:
                 shares, n = mixtures(batch.column("text").to_pylist(), model)
                 at = np.where(n > 0, shares.argmax(1) if len(model.languages) else 0, len(model.languages))
                 added = [pa.array(names[at].tolist(), pa.string()), pa.array(np.clip(shares.max(1, initial=0.0), 0, 1), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, pred, score])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def held_out() -> Column:

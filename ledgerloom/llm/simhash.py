@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, components, cut, dealt, groups, joined, picked, spanning, split_hot
+from ledgerloom.llm.common import bounded_batches, components, cut, dealt, fresh, groups, joined, picked, spanning, split_hot
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: Words of the shingles of near copies, and their least similarity.
@@ -252,14 +252,15 @@ def deduplicated(documents: DataFrame, most: int = MOST, sets: int = SETS) -> Da
     scan is joined with.
     """
     bounded_batches(documents.sparkSession)
-    placed = documents.withColumn("_row", F.monotonically_increasing_id())
+    row = fresh(documents, "_row")
+    placed = documents.withColumn(row, F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([near_fingerprint(x.as_py()) for x in batch.column("text")], np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["_row", "doc_id", "fp", "words"])
 
-    slim = picked(placed, ("_row", "long"), ("doc_id", "long"), ("text", "string"))
+    slim = placed.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = cut(slim.mapInArrow(run, "_row long, doc_id long, fp long, words long"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     classes = cut(known.groupBy("fp", "words").agg(F.min(order).alias("best")).withColumn("cid", F.monotonically_increasing_id()))
@@ -272,7 +273,7 @@ def deduplicated(documents: DataFrame, most: int = MOST, sets: int = SETS) -> Da
     grouped = classes.join(linked, "cid", "left").withColumn("group", F.coalesce("group", "cid"))
     kept = grouped.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
     gone = cut(known.select("_row").join(kept, "_row", "left_anti"))
-    return joined(placed, gone, "_row", "left_anti", gone.count()).drop("_row")
+    return joined(placed, gone.withColumnRenamed("_row", row), row, "left_anti", gone.count()).drop(row)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,25 +93,28 @@ def cuts(rows: DataFrame, **options) -> DataFrame:
     return cut(goal.join(ended.select(*source, F.col("_bucket").alias("_end")), source, "left").join(last, source, "left").drop("rest"))
 
 
-def mixed(documents: DataFrame, seed: str = SEED, **options) -> DataFrame:
-    """The documents with ``size, source_size, target, taken`` in place of working columns; rows of all documents."""
-    rows = keyed(documents, seed)
-    slim = cut(rows.select("_s", "_none", "_id", "_size", "_key", "_bucket"))
-    ends = cuts(slim, **options)
-    return _taken(rows, ends)
-
-
-def _taken(rows: DataFrame, ends: DataFrame) -> DataFrame:
+def _decided(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """``rows`` (from :func:`keyed`) with ``_source_size, _target, _taken`` from their source's row of :func:`cuts`."""
+    ends = ends.withColumnsRenamed({"source_size": "_source_size", "target": "_target"})
     out = joined(rows, ends, ["_s", "_none"], "left", ends.count())
     chosen = (F.col("_bucket") < F.col("_end")) | ((F.col("_bucket") == F.col("_end")) & (F.struct("_key", "_id", "_size") <= F.col("_last")))
-    taken = F.least(F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("long"), F.lit(2)) * F.col("_size")
-    return out.withColumn("taken", taken).withColumnRenamed("_size", "size").drop("_s", "_none", "_id", "_key", "_bucket", "_end", "_last", "epochs")
+    return out.withColumn("_taken", F.least(F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("long"), F.lit(2)) * F.col("_size"))
 
 
 def mix(documents: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every document; reads the texts once."""
     slim = cut(keyed(documents.select("doc_id", "text", "source"), seed).drop("text", "source"))
-    return _taken(slim, cuts(slim, **options)).select("doc_id", "size", "source_size", "target", "taken")
+    found = _decided(slim, cuts(slim, **options))
+    return found.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
+def repeated(documents: DataFrame, seed: str = SEED, **options) -> DataFrame:
+    """The mix itself: every document, with its own columns, as often as it is taken; those that aren't go."""
+    rows = keyed(documents.select("doc_id", "text", "source", F.struct("*").alias("_doc")), seed)
+    slim = cut(rows.select("_s", "_none", "_id", "_size", "_key", "_bucket"))
+    found = _decided(rows, cuts(slim, **options)).where("_taken > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.expr("_taken div _size")))
+    return found.select("_doc", copies).select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

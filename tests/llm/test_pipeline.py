@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from helpers import documents, prose
+from helpers import awkward, documents, prose
 from ledgerloom.llm import bpe, language_id, secret_scan
 from ledgerloom.llm.queries import MODULES
 from test_simhash import plain_kept
@@ -55,6 +55,19 @@ def test_stages_keep_the_columns(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "secret_scan", "source_mix", "byte_bpe"]
 
 
+def test_clashing_columns_come_through(spark, tmp_path):
+    df, _ = awkward(spark)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == df.columns
+        assert docs.where("size <> 7 OR fp <> 7 OR _row <> 7 OR score <> 0.5 OR _key <> 0.5 OR key <> 'k'").count() == 0
+    assert docs.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_an_empty_table(spark, tmp_path):
     documents(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -108,13 +108,15 @@ def test_awkward_rows(spark):
     assert op.mix(df.limit(0)).count() == 0
     empty = documents(spark, [(1, None, None, "s"), (2, "", None, None)])
     assert by_id(op.mix(empty).collect(), "doc_id", "source_size", "target", "taken") == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
-    whole = op.mixed(df)
-    assert whole.count() == len(rows)
-    assert {"text", "lang", "source", "taken", "target"} <= set(whole.columns)
+    whole = op.repeated(df)
+    assert whole.columns == df.columns
+    assert whole.where("size <> 7").count() == 0
+    want = [i for i, size, _, _, taken in plain_mix(rows) for _ in range(taken // size if size else 0)]
+    assert sorted((r["doc_id"] for r in whole.collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_the_plan_has_no_python(spark):
     df, _ = many(spark, 20)
-    for out in (op.mix(df), op.mixed(df)):
+    for out in (op.mix(df), op.repeated(df)):
         plan = out._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
