@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, language_id, secret_scan, simhash, source_mix
-from ledgerloom.llm.common import cut, remainder, shared_dir
+from ledgerloom.llm.common import cut, fresh, remainder, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.learn(docs.where(remainder("doc_id", 4) != 2))
-    found = language_id.with_language(docs, model).where(F.col("lang_pred") != language_id.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    pred = fresh(docs, "lang_pred")
+    found = language_id.with_language(docs, model, pred, fresh(docs, "score")).where(F.col(pred) != language_id.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +37,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = source_mix.mixed(docs).where("taken > 0")
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size")))
-    return found.select(*docs.columns, copies.alias("_copy")).drop("_copy")
+    return source_mix.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
