@@ -198,7 +198,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 2) -
         yield from ready(table, at)
 
 
-def spanning(n: int, near, frontier: int = 256) -> list[tuple[int, int]]:
+def spanning(n: int, near, frontier: int = 64) -> list[tuple[int, int]]:
     """Links (root, member) that span the components of items 0 to n - 1, without listing all pairs.
 
     ``near(some, others)`` tells for each of ``others`` whether it links with any of ``some``. A search starts at each
