@@ -14,12 +14,14 @@ compared, all 64 bits, only with those at the same anchor. That is exact: no lin
 Equal texts meet as one fingerprint beforehand. An anchor with more than ``MOST`` fingerprints is dealt out in pairs of
 chunks. Within an anchor a search over those not yet reached gives links that span the linked sets, never all pairs.
 
-:func:`deduplicated`, for pipelines, takes near copies as such: five-word shingles with a Jaccard similarity of 0.8 or more.
-At that similarity fingerprints of four words differ in about ten bits, so it finds candidates by fingerprints of
-distinct two-word shingles that differ in ``NEAR.threshold`` = 8 bits or fewer (99 % of near copies of 0.8 to 0.85 in the
-test tables, and below 1 of 1000 other pairs come to 20). One of their parts of 21, 21 and 22 bits then differs in at most 2,
-and the anchors of a part are those of the Hamming code of length 15 joined to its other bits. Within each component
-of candidates the sets of shingles themselves are then compared, so nothing below 0.8 links.
+:func:`deduplicated`, for pipelines, takes near copies as such: distinct five-word shingles with a Jaccard similarity of 0.8 or
+more. No fingerprint is sure to tell these, so candidates are found by prefix filtering, which is exact. All sets are put
+in one order of shingles; of a set of n, the first n - ceil(0.8 n) + 1 are its prefix, and two sets that similar share a shingle of
+both prefixes. The order is by how often a sample of the texts has a shingle (counted in ``BUCKETS`` by hash), then by hash:
+it decides how many candidates there are, not which pairs are found. Two that have a shingle in their prefixes link if their
+sizes and its places allow the similarity. Where over ``LISTED`` have it, only neighbours in order of size link, by their
+sizes, so a large group costs no more than its rows; a pair that is similar is still joined by such links. Within each component of candidates the sets themselves are then compared, so nothing below 0.8
+links and no pair of 0.8 or more is missed.
 
 Edge cases: a null or empty text has fingerprint zero. Repeated rows and ids are kept, a row each. A row with a null id
 links as any other; component ids are smallest non-null ids, null where a component has none. No rows give no rows.
@@ -28,6 +30,7 @@ Columns other than ``doc_id`` and ``text`` are not looked at by the fingerprints
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, components, cut, dealt, fresh, groups, joined, picked, spanning, split_hot
+from ledgerloom.llm.common import bounded_batches, components, cut, dealt, fresh, groups, joined, partitions, picked, spanning, split_hot
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: Words of the shingles of near copies, and their least similarity.
@@ -46,6 +49,10 @@ NEAR_SHINGLE, SIMILARITY = 5, 0.8
 MOST = 8192
 #: Texts of one component whose shingles are compared in one task without dealing them out.
 SETS = 128
+#: Counters of shingles, by the upper bits of their hashes, and how many to a row; one text in ``SAMPLED`` is counted.
+BUCKETS, BUCKETS_A_ROW, SAMPLED = 1 << 20, 1 << 12, 4
+#: Sets with the same shingle in their prefixes whose pairs are listed.
+LISTED = 32
 #: Shingles whose bits are counted at once, which bounds the memory for a text of any length.
 AT_ONCE = 1 << 16
 
@@ -65,7 +72,6 @@ class Cover:
 
 
 EXACT = Cover(THRESHOLD, ((0, 32, 5), (32, 32, 5)))
-NEAR = Cover(8, ((0, 21, 4), (21, 21, 4), (42, 22, 4)))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -106,10 +112,21 @@ def fingerprint(text: str | None) -> int:
     return majority(shingle_hashes(words_of(text), SHINGLE))
 
 
-def near_fingerprint(text: str | None) -> tuple[int, int]:
-    """The fingerprint of distinct two-word shingles, and a hash of the words: equal for texts of the same words."""
-    words = words_of(text)
-    return majority(iter([distinct_hashes(text, 2)])), xxhash.xxh64_intdigest(b" ".join(words), SEED)
+def words_hash(text: str | None) -> tuple[int, int]:
+    """Two hashes of the words: equal for texts of the same words."""
+    joined = b" ".join(words_of(text))
+    return xxhash.xxh64_intdigest(joined, SEED), xxhash.xxh64_intdigest(joined, SEED + 1)
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, often: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The shingles of a set, rare ones first, one of which any set that similar has in its own prefix, too."""
+    n = len(hashes)
+    size = n - math.ceil(similarity * n - 1e-9 * n) + 1 if n else 0
+    return hashes[np.lexsort((hashes, often[bucket_of(hashes)]))[:size]]
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -244,7 +261,72 @@ def near_links(texts: DataFrame, most: int = SETS, similarity: float = SIMILARIT
     return dealt(parts.select("root", "part", "cid", "set"), "root", "part").mapInArrow(compare, "a long, b long")
 
 
-def deduplicated(documents: DataFrame, most: int = MOST, sets: int = SETS) -> DataFrame:
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many of a sample of ``texts(text)`` have a shingle of each bucket; the sample goes by the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(BUCKETS, np.int32)
+        for batch in batches:
+            for x in batch.column("text"):
+                if words_hash(text := x.as_py())[0] % SAMPLED == 0:
+                    np.add.at(found, bucket_of(distinct_hashes(text)), 1)
+        rows = found.reshape(-1, BUCKETS_A_ROW)
+        some = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([x.tobytes() for x in rows[some]], pa.binary())], ["at", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, counts in zip(batch.column("at").to_pylist(), batch.column("counts"), strict=True):
+                total[at] = total.get(at, 0) + np.frombuffer(counts.as_py(), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["at", "counts"])
+
+    parts = texts.select("text").mapInArrow(run, "at long, counts binary")
+    often = np.zeros((BUCKETS // BUCKETS_A_ROW, BUCKETS_A_ROW), np.int32)
+    for at, counts in parts.repartition(partitions(texts.sparkSession), "at").mapInArrow(add, "at long, counts binary").collect():
+        often[at] = np.frombuffer(counts, np.int32)
+    return often.ravel()
+
+
+def candidates(texts: DataFrame, often: np.ndarray, similarity: float = SIMILARITY, listed: int = LISTED) -> DataFrame:
+    """Links ``(a, b)`` between ``texts(cid, text)``: any two whose shingles are similar are in one component of these."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [distinct_hashes(x.as_py()) for x in batch.column("text")]
+            found = [prefix(x, often, similarity) for x in sets]
+            lengths = np.array([len(x) for x in found], np.int64)
+            at = [(len(x) << 32) + np.arange(len(y)) for x, y in zip(sets, found, strict=True)]
+            shingle = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            cid = np.repeat(batch.column("cid").to_numpy(), lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(np.concatenate([np.zeros(0, np.int64), *at])), pa.array(cid)], ["shingle", "at", "cid"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in groups(batches, ["shingle"]):
+            cid, place = table.column("cid").to_numpy(), table.column("at").to_numpy()
+            size, sizes, starts = place >> 32, np.diff(at), at[:-1]
+            rest = size - (place & 0xFFFFFFFF)  # the shingle and those after it, all that two share if it is the first
+            a, b = [], []
+            for many in np.unique(sizes[sizes <= listed]).tolist():
+                i, j = np.triu_indices(many, 1)
+                x, y = ((starts[sizes == many][:, None] + k).ravel() for k in (i, j))
+                ok = np.minimum(rest[x], rest[y]) >= similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6
+                a.append(x[ok])
+                b.append(y[ok])
+            follows = np.repeat(sizes > listed, sizes)
+            follows[starts] = False
+            y = np.flatnonzero(follows)
+            x, y = np.concatenate([*a, y - 1]), np.concatenate([*b, y])
+            ok = size[x] >= similarity * size[y] - 1e-6
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cid[x[ok]]), pa.array(cid[y[ok]])], ["a", "b"])
+
+    rows = texts.select("cid", "text").mapInArrow(prefixes, "shingle long, at long, cid long")
+    rows = rows.repartition(partitions(texts.sparkSession), "shingle").sortWithinPartitions("shingle", "at")
+    return rows.mapInArrow(pairs, "a long, b long")
+
+
+def deduplicated(documents: DataFrame, sets: int = SETS) -> DataFrame:
     """The documents without all but one of each group of near copies: the row with its smallest doc_id (nulls last) stays.
 
     Texts of the same words are one class; texts without words are one too. Rows are told apart by their place in the scan,
@@ -257,18 +339,19 @@ def deduplicated(documents: DataFrame, most: int = MOST, sets: int = SETS) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([near_fingerprint(x.as_py()) for x in batch.column("text")], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["_row", "doc_id", "fp", "words"])
+            found = np.array([words_hash(x.as_py()) for x in batch.column("text")], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["_row", "doc_id", "words", "more"])
 
     slim = placed.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = cut(slim.mapInArrow(run, "_row long, doc_id long, fp long, words long"))
+    often = shingle_counts(slim)
+    known = cut(slim.mapInArrow(run, "_row long, doc_id long, words long, more long"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    classes = cut(known.groupBy("fp", "words").agg(F.min(order).alias("best")).withColumn("cid", F.monotonically_increasing_id()))
-    root = fingerprint_components(classes.select("fp", F.col("best.doc_id").alias("doc_id")), most, NEAR).select("fp", "root")
-    rooted = classes.join(root, "fp").select("root", "cid", F.col("best._row").alias("_row"))
-    many = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    asked = cut(rooted.join(many, "root", "left_semi"))
-    texts = joined(slim.select("_row", "text"), asked, "_row", "inner", asked.count())
+    classes = cut(known.groupBy("words", "more").agg(F.min(order).alias("best")))
+    classes = classes.select("best", F.col("best._row").alias("cid"))
+    again = cut(known.join(classes.select(F.col("cid").alias("_row")), "_row", "left_anti").select("_row"))
+    firsts = joined(slim.select("_row", "text"), again, "_row", "left_anti", again.count()).withColumnRenamed("_row", "cid")
+    asked = cut(components(candidates(firsts, often)).select("root", F.col("id").alias("_row")))
+    texts = joined(slim.select("_row", "text"), asked, "_row", "inner", asked.count()).withColumnRenamed("_row", "cid")
     linked = components(near_links(texts, sets)).withColumnRenamed("id", "cid").withColumnRenamed("root", "group")
     grouped = classes.join(linked, "cid", "left").withColumn("group", F.coalesce("group", "cid"))
     kept = grouped.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))

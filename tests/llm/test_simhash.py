@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from functools import partial
 
 import numpy as np
 import pytest
@@ -131,6 +132,46 @@ def test_near_copies_go(spark, sets):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+def edited(rnd, words, how):
+    """A copy with one contiguous edit; its similarity is between 0.8 and 0.85."""
+    n, more = len(words), prose("de", 300, rnd.random()).split()
+    at = {"appended": n, "prepended": 0, "inserted": n // 2}.get(how)
+    size = int(n * rnd.uniform(0.18, 0.23))
+    if at is not None:
+        return words[:at] + more[:size] + words[at:]
+    return words[: n - int(n * rnd.uniform(0.16, 0.19))] if how == "cut off" else words[int(n * rnd.uniform(0.16, 0.19)) :]
+
+
+@pytest.mark.parametrize("listed", [op.LISTED, 2])
+def test_copies_with_one_long_edit_go(spark, listed, monkeypatch):
+    monkeypatch.setattr(op, "candidates", partial(op.candidates, listed=listed))
+    rnd = random.Random(6)
+    rows = [(k, prose("en", 200 + 9 * k, 100 + k), "en", "s") for k in range(40)]
+    line = prose("en", 12, 900)  # in many texts, so its shingles tell nothing
+    rows += [(50 + k, f"{prose('fr', 60, 100 + k)} {line}", "fr", "s") for k in range(40)]
+    for k in range(40):
+        for j, how in enumerate(("appended", "prepended", "inserted", "cut off", "headless")):
+            rows.append((1000 + 10 * k + j, " ".join(edited(rnd, rows[k][1].split(), how)), "en", "s"))
+    alike = [len(a & b) / len(a | b) for a, b in ((shingles(rows[(i - 1000) // 10][1]), shingles(t)) for i, t, *_ in rows if i >= 1000)]
+    assert sum(0.8 <= x < 0.86 for x in alike) > 150
+    rnd.shuffle(rows)
+    want = plain_kept(rows)
+    assert sorted(r["doc_id"] for r in op.deduplicated(documents(spark, rows)).collect()) == sorted(want)
+
+
+def test_any_order_of_shingles_leaves_no_pair_out():
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 40), 200, 1001]:
+        often = rng.integers(0, 3, op.BUCKETS)
+        for _ in range(20):
+            pool = rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64)
+            cut = int(rng.integers(0, n // 4 + 1))
+            a, b = np.unique(pool[:n]), np.unique(pool[cut : n + int(rng.integers(0, cut + 1))])
+            both = len(np.intersect1d(a, b))
+            if both >= 0.8 * (len(a) + len(b) - both):
+                assert len(np.intersect1d(op.prefix(a, often), op.prefix(b, often)))
+
+
 def test_near_duplicates(spark):
     base = prose("en", 400, 5)
     rows = [(5, base, "en", "s"), (3, base, "en", "s"), (9, base.upper(), "en", "s"), (11, base + " the end", "en", "s"), (1, prose("fr", 200, 6), "fr", "s")]
