@@ -7,8 +7,8 @@ changes between classes), whether it or a word before it names a secret, the sha
 file (shares of digits and of code symbols). It is trained here, once per driver, by its likelihood on texts written by
 rule with a fixed seed, so it depends on no table. Decoding is exact: a word whose score for O beats its other scores by more
 than two transitions can make up is O on the best path, so only what lies between such words is decoded by Viterbi.
-Words tagged B or I make spans without their quotes and end marks, of ``LEAST`` characters or more; a span that
-touches one of a fixed kind is left out, so the fixed ones stay as they are.
+Words tagged B or I make spans without their quotes and end marks, of ``LEAST`` characters or more. The fixed ones stay as
+they are; a span that reaches further than these is added whole, overlaps and all, and one that doesn't is left out.
 
 Edge cases: a null or empty text has no spans. Offsets are code points, ends exclusive. Repeated rows and ids are rows of their
 own; doc_id may be null. No rows give no rows. A text of any length is read in pieces of about ``AT_ONCE`` bytes at
@@ -312,6 +312,15 @@ def _pieces(raw: bytes) -> Iterator[tuple[int, int]]:
         at = stop
 
 
+def reaches_further(start: int, end: int, base: list[tuple[str, int, int]]) -> bool:
+    """Whether part of a span lies outside all of ``base`` (by start)."""
+    for _, x, y in base:
+        if x > start:
+            break
+        start = max(start, y)
+    return start < end
+
+
 def field_spans(text: str, base: list[tuple[str, int, int]], model: Field) -> list[tuple[str, int, int]]:
     """Spans that the field adds to ``base``."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -334,7 +343,7 @@ def field_spans(text: str, base: list[tuple[str, int, int]], model: Field) -> li
         b = a + len(raw[a:b].rstrip(TRIM))
         start = len(raw[:a].decode("utf-8", "surrogatepass"))
         end = start + len(raw[a:b].decode("utf-8", "surrogatepass"))
-        if end - start >= LEAST and not any(x < end and start < y for _, x, y in base):
+        if end - start >= LEAST and reaches_further(start, end, base):
             found.append((ADDED, start, end))
     return found
 

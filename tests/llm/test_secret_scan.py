@@ -87,6 +87,31 @@ def test_pieces_of_a_long_text_give_the_same_spans():
     assert len(again[1]) >= 1
 
 
+def test_a_span_that_reaches_further_than_a_fixed_one_stays():
+    model, text = op.field(), "password=Tr0ub4dor&3xyz!Q"
+    base, spans = op.scan(text, model)
+    assert base == [("assign", 0, 18)]
+    assert spans == [*base, (op.ADDED, 0, 25)]
+    assert op.redacted(text, spans) == "[assign]"
+    assert op.scan("my password=abcdefgh12 ok", model)[1] == [("assign", 3, 22)]  # nothing to add
+    keys = " ".join("Xk29fLqP0zmW7tRb1" * 4 for _ in range(2)) + " " + HEX  # a run of words with a fixed one at its end
+    text = f"-----BEGIN PRIVATE KEY----- {keys} -----END PRIVATE KEY-----"
+    base, spans = op.scan(text, model)
+    assert base
+    assert "Xk29" not in op.redacted(text, spans)
+    assert set(base) <= set(spans)
+
+
+def test_reaching_further():
+    base = [("a", 2, 5), ("b", 4, 9), ("c", 12, 14)]
+    assert not op.reaches_further(2, 9, base)
+    assert not op.reaches_further(5, 8, base)
+    assert op.reaches_further(1, 5, base)
+    assert op.reaches_further(5, 10, base)
+    assert op.reaches_further(9, 12, base)
+    assert op.reaches_further(3, 14, base)
+
+
 def test_redaction():
     assert op.redacted("abcdef", [("x", 1, 3), ("y", 2, 4)]) == "a[x]ef"
     assert op.redacted("abc", []) == "abc"
