@@ -6,8 +6,9 @@ their id, with their whole texts; the bound is there because likelihoods settle
 
 A document is taken as a mixture of languages. Expectation-maximisation finds the proportions under which its trigrams are
 likeliest, first for all languages. The language set is then selected by penalised likelihood among the sets of its 1, 2, 3, ...
-largest languages, re-estimated each: log likelihood less ``PENALTY`` * languages * log(trigrams) / 2. The prediction is
-the largest proportion of the selected set, ties to the smaller name, and the score is that proportion.
+largest languages, re-estimated each: log likelihood less ``PENALTY`` * languages * log(trigrams) / 2. A document is done
+with when even the likelihood that no mixture exceeds (log likelihood is concave in the proportions, so its slopes at any
+one bound it) would not make up for the penalty; that depends on no other document. The prediction is the largest proportion of the selected set, ties to the smaller name, and the score is that proportion.
 
 Whole texts are used, in chunks of about ``AT_ONCE`` characters: a document's trigrams are counted, so its memory is bounded by
 the buckets.
@@ -126,6 +127,13 @@ def _proportions(p: np.ndarray, number: np.ndarray, starts: np.ndarray, sizes: n
     return share, np.add.reduceat(number * np.log(whole), starts)
 
 
+def _bound(p: np.ndarray, number: np.ndarray, starts: np.ndarray, sizes: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """What no proportions' log likelihood exceeds, by the slopes at ``share``."""
+    whole = (p * np.repeat(share.T, sizes, axis=1)).sum(0)
+    slopes = np.add.reduceat(p * (number / whole), starts, axis=1)
+    return np.add.reduceat(number * np.log(whole), starts) + slopes.max(0) - (slopes * share.T).sum(0)
+
+
 def mixtures(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (text x language, zeros outside the selected set) and numbers of trigrams, 0 for texts without letters."""
     owner, bucket, number = counts(texts)
@@ -139,15 +147,21 @@ def mixtures(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndar
     many = len(model.languages)
     full, _ = _proportions(p, number, starts, sizes, np.full((len(starts), many), 1 / many), FIRST)
     rank = (-full).argsort(axis=1, kind="stable").argsort(axis=1)
-    best, worth = np.zeros_like(full), np.full(len(starts), -np.inf)
+    best, worth, most = np.zeros_like(full), np.full(len(starts), -np.inf), _bound(p, number, starts, sizes, full)
+    left = np.arange(len(starts))  # documents that a set of this size could still suit better; p and the rest are theirs
     for size in range(1, many + 1):
-        share = np.where(rank < size, np.maximum(full, 1e-9), 0.0)
+        share = np.where(rank[left] < size, np.maximum(full[left], 1e-9), 0.0)
         share, fit = _proportions(p, number, starts, sizes, share / share.sum(1, keepdims=True), AGAIN if size > 1 else 0)
-        value = fit - PENALTY * size * np.log(n + 1) / 2
-        better = value > worth
-        best[better], worth[better] = share[better], value[better]
-        if size > 1 and not better.any():
+        value = fit - PENALTY * size * np.log(n[left] + 1) / 2
+        better = value > worth[left]
+        best[left[better]], worth[left[better]] = share[better], value[better]
+        open_ = most[left] - PENALTY * (size + 1) * np.log(n[left] + 1) / 2 > worth[left] - 1e-9 * np.abs(worth[left])
+        if not open_.any():
             break
+        if not open_.all():
+            own = np.repeat(open_, sizes)
+            p, number, sizes, left = p[:, own], number[own], sizes[open_], left[open_]
+            starts = np.cumsum(sizes) - sizes
     shares[documents], trigrams[documents] = best, n
     return shares, trigrams
 

@@ -50,6 +50,36 @@ def test_counts_are_those_of_the_whole_text():
     assert number[owner == 0].sum() == 3
 
 
+def test_neighbours_in_a_batch_change_nothing():
+    signs, times = "abcdef", [34, 11, 6, 42, 5, 55]
+    logs = [[2.6, -0.1, 0.1, 1.8], [-0.2, 4.0, -3.7, -3.2], [-0.7, 2.8, -0.2, -3.4], [1.9, -2.8, 3.2, 2.3], [3.8, 3.1, 2.7, 1.8], [-0.8, -0.3, 0.0, 0.5]]
+    likelihood = np.full((op.BUCKETS, 4), 1e-6)
+    likelihood[[int(op.counts([f"{c} {c}"])[1][0]) for c in signs]] = np.exp(logs) / 100
+    model = op.Model(("a", "b", "c", "d"), likelihood)
+    text, other = (" ".join(" ".join([c] * n) for c, n in zip(signs, many, strict=True)) for many in (times, [3000] * 6))
+    alone, beside = op.mixtures([text], model)[0][0], op.mixtures([other, text], model)[0][1]
+    assert (alone > 0).sum() == 4  # two languages are not worth their penalty, four are
+    assert np.allclose(alone, beside)
+
+
+def test_the_bound_leaves_no_better_set_out():
+    rng = np.random.default_rng(3)
+    at = [int(op.counts([f"{c} {c}"])[1][0]) for c in "abcdef"]
+    old = op._bound
+    for _ in range(60):
+        likelihood = np.full((op.BUCKETS, 5), 1e-6)
+        likelihood[at] = np.exp(rng.normal(scale=2.5, size=(6, 5))) / 100
+        model = op.Model(tuple("vwxyz"), likelihood)
+        texts = [" ".join(" ".join([c] * k) for c, k in zip("abcdef", rng.integers(0, 60, 6), strict=True)) for _ in range(20)]
+        found = op.mixtures(texts, model)[0]
+        op._bound = lambda p, number, starts, *_: np.full(len(starts), np.inf)  # every size for every document
+        try:
+            every = op.mixtures(texts, model)[0]
+        finally:
+            op._bound = old
+        assert np.allclose(found, every)
+
+
 def test_awkward_rows(spark):
     df, rows = awkward(spark)
     found = op.identify(df).collect()
