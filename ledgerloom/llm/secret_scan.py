@@ -12,7 +12,7 @@ they are; a span that reaches further than these is added whole, overlaps and al
 
 Edge cases: a null or empty text has no spans. Offsets are code points, ends exclusive. Repeated rows and ids are rows of their
 own; doc_id may be null. No rows give no rows. A text of any length is read in pieces of about ``AT_ONCE`` bytes at
-word ends for its features; only its words' scores and its spans are held whole.
+word ends, with the two words before and the one after that features look at; only its words' scores and its spans are held whole.
 """
 
 from __future__ import annotations
@@ -72,6 +72,7 @@ SPACE, DIGIT = _table(b" \t\n\x0b\x0c\r"), _table(b"0123456789")
 UPPER, LOWER = _table(bytes(range(65, 91))), _table(bytes(range(97, 123)))
 HEX, ASSIGN, QUOTE, CODE = _table(b"0123456789abcdefABCDEF"), _table(b"=:"), _table(b"\"'`"), _table(b"=;{}()<>")
 ADDRESS, PATH = _table(b"@"), _table(b"/")
+WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 WORDS = re.compile("|".join(map(re.escape, NAMES)).encode(), re.I)
 
 
@@ -326,10 +327,15 @@ def field_spans(text: str, base: list[tuple[str, int, int]], model: Field) -> li
     raw = text.encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8)
     file = file_features(np.array([DIGIT[data].sum(), CODE[data].sum()]), len(data)) if len(raw) > AT_ONCE else None
-    parts = []
+    parts, before = [], []  # the last two words before the piece
     for a, b in _pieces(raw):
-        starts, ends, found = word_features(data[a:b], raw[a:b], file)
-        parts.append((starts + a, ends + a, emissions(found, model)))
+        head, after = b"".join(x + b" " for x in before), WORD.search(raw, b)
+        piece = head + raw[a:b] + (after[0] if after else b"")
+        starts, ends, found = word_features(np.frombuffer(piece, np.uint8), piece, file)
+        own = slice(len(before), len(starts) - (after is not None))
+        starts, ends = starts[own] + (a - len(head)), ends[own] + (a - len(head))
+        parts.append((starts, ends, emissions(found[own], model)))
+        before = [*before, *(raw[x:y] for x, y in zip(starts[-2:].tolist(), ends[-2:].tolist(), strict=True))][-2:]
     if not parts:
         return []
     starts, ends, score = (np.concatenate(x) for x in zip(*parts, strict=True))

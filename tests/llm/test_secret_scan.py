@@ -87,6 +87,27 @@ def test_pieces_of_a_long_text_give_the_same_spans():
     assert len(again[1]) >= 1
 
 
+def test_a_border_beside_a_secret_changes_no_span():
+    text = f"{prose('en', 300, 8)} token = Zz91kLmN0pQr&tUv8Xw {prose('en', 40, 9)} pwd is Qm28xTzP0aLw7vKc  \n\n{prose('de', 30, 9)}"
+    model, raw = op.field(), text.encode()
+    want, old = op.scan(text, model), op.AT_ONCE
+    assert len(want[1]) >= 2
+    whole = op.word_features(np.frombuffer(raw, np.uint8), raw)[2]
+    try:
+        for op.AT_ONCE in [*range(raw.index(b"token") - 20, raw.index(b"token") + 40), *range(raw.index(b"pwd") - 20, raw.index(b"pwd") + 40), 1, 9]:
+            if op.AT_ONCE < 10:  # a word or two to a piece
+                seen, real = [], op.emissions
+                op.emissions = lambda found, field, real=real, seen=seen: (seen.append(found), real(found, field))[1]
+            try:
+                assert op.scan(text, model) == want
+            finally:
+                if op.AT_ONCE < 10:
+                    op.emissions = real
+                    assert np.array_equal(np.concatenate(seen), whole)
+    finally:
+        op.AT_ONCE = old
+
+
 def test_a_span_that_reaches_further_than_a_fixed_one_stays():
     model, text = op.field(), "password=Tr0ub4dor&3xyz!Q"
     base, spans = op.scan(text, model)
