@@ -7,6 +7,7 @@ single task, or the driver, holding more than a bounded share of the rows.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -30,15 +31,17 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and the master is local."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         folder = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="checkpoints-")
         shared_dir.own = folder
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -47,6 +50,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """A new folder in the shared one that is gone afterwards; what :func:`stored` writes meanwhile lies in it."""
+    before, folder = getattr(scratch, "now", None), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    scratch.now = folder
+    try:
+        yield folder
+    finally:
+        scratch.now = before
+        discard(spark, folder)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: its rows are made once, and scans read only the columns that they ask for."""
+    folder = f"{getattr(scratch, 'now', None) or shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,13 +15,20 @@ Equal texts meet as one fingerprint beforehand. An anchor with more than ``MOST`
 chunks. Within an anchor a search over those not yet reached gives links that span the linked sets, never all pairs.
 
 :func:`deduplicated`, for pipelines, takes near copies as such: distinct five-word shingles with a Jaccard similarity of 0.8 or
-more. No fingerprint is sure to tell these, so candidates are found by prefix filtering, which is exact. All sets are put
-in one order of shingles; of a set of n, the first n - ceil(0.8 n) + 1 are its prefix, and two sets that similar share a shingle of
-both prefixes. The order is by how often a sample of the texts has a shingle (counted in ``BUCKETS`` by hash), then by hash:
-it decides how many candidates there are, not which pairs are found. Two that have a shingle in their prefixes link if their
-sizes and its places allow the similarity. Where over ``LISTED`` have it, only neighbours in order of size link, by their
-sizes, so a large group costs no more than its rows; a pair that is similar is still joined by such links. Within each component of candidates the sets themselves are then compared, so nothing below 0.8
-links and no pair of 0.8 or more is missed.
+more. Candidates are links of the fingerprints of these shingles, by the cover above, and, for copies that differ in more
+bits, what prefix filtering finds. All sets are put in one order of shingles; of a set of n, the first n - ceil(0.8 n) + 1
+are its prefix, and two sets that similar share a shingle of both prefixes. The order is by how many texts have a
+shingle (counted in ``BUCKETS`` by hash), then by hash: it decides how many candidates there are, not which pairs are found.
+Two that have a shingle in their prefixes are candidates if their sizes and its places allow the similarity. Where over
+``LISTED`` have it, only neighbours in order of size are, by their sizes, so a large group costs no more than its rows; a
+pair that is similar is still joined by such steps.
+
+Pairs listed by prefixes are ruled out if fingerprints of ``SKETCH`` bits differ in over ``APART`` and both sets have ``PLAIN``
+shingles or more: at a similarity of 0.8 a bit differs with probability 0.152 at most (a simulation; less above 0.8), so a pair
+is missed with probability 2e-9. Within each component of what is left the sets themselves are compared, by their overlaps,
+so nothing below 0.8 links. A component of more than ``TOGETHER`` shingles is dealt into chunks of about that, ``ROUNDS``
+times anew; texts that do not then belong to its largest group are compared with all of it, chunk by chunk, so no pair goes
+uncompared and a group of near copies costs a multiple of its rows.
 
 Edge cases: a null or empty text has fingerprint zero. Repeated rows and ids are kept, a row each. A row with a null id
 links as any other; component ids are smallest non-null ids, null where a component has none. No rows give no rows.
@@ -40,17 +47,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, components, cut, dealt, fresh, groups, joined, partitions, picked, spanning, split_hot
+from ledgerloom.llm.common import bounded_batches, components, cut, dealt, fresh, groups, joined, partitions, picked, spanning, split_hot, stored
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: Words of the shingles of near copies, and their least similarity.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of one anchor that are compared in one task without dealing them out.
 MOST = 8192
-#: Texts of one component whose shingles are compared in one task without dealing them out.
-SETS = 128
-#: Counters of shingles, by the upper bits of their hashes, and how many to a row; one text in ``SAMPLED`` is counted.
-BUCKETS, BUCKETS_A_ROW, SAMPLED = 1 << 20, 1 << 12, 4
+#: Shingles of one component that are compared in one task, and how often larger ones are dealt into such chunks.
+TOGETHER, ROUNDS = 1 << 20, 2
+#: Counters of shingles, by the upper bits of their hashes, and how many to a row.
+BUCKETS, BUCKETS_A_ROW = 1 << 20, 1 << 12
+#: Bits of the fingerprints that rule pairs out, how many may differ, and the size of sets from which on they do.
+SKETCH, APART, PLAIN = 256, 76, 64
+#: Rows of one long that are broadcast at most, tens of MB.
+KEYS = 1_000_000
 #: Sets with the same shingle in their prefixes whose pairs are listed.
 LISTED = 32
 #: Shingles whose bits are counted at once, which bounds the memory for a text of any length.
@@ -98,18 +109,27 @@ def distinct_hashes(text: str | None, size: int = NEAR_SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def majority(hashes: Iterator[np.ndarray]) -> int:
-    """The bits that are set in over half of the hashes."""
-    bits, count = np.zeros(64, np.int64), 0
+def majority(hashes: Iterator[np.ndarray], bits: int = 64) -> np.ndarray:
+    """The bits, in words of 64, that are set in over half of the hashes; words beyond the first mix them anew."""
+    total, count = np.zeros(bits, np.int64), 0
     for some in hashes:
-        bits += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        words = [some, *(mixed(some, k) for k in range(1, bits // 64))]
+        total += np.concatenate([np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32) for x in words])
         count += len(some)
-    return int(np.packbits(2 * bits > count, bitorder="little").view("<u8")[0])
+    return np.packbits(2 * total > count, bitorder="little").view("<u8")
+
+
+def mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Other 64-bit hashes, made of these."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * turn & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 def fingerprint(text: str | None) -> int:
     """The unsigned 64-bit fingerprint of one text."""
-    return majority(shingle_hashes(words_of(text), SHINGLE))
+    return int(majority(shingle_hashes(words_of(text), SHINGLE))[0])
 
 
 def words_hash(text: str | None) -> tuple[int, int]:
@@ -209,9 +229,11 @@ def fingerprint_components(known: DataFrame, most: int = MOST, cover: Cover = EX
     """``fp, first, root, component_id`` for every distinct fingerprint of ``known(doc_id, fp)``."""
     distinct = cut(known.groupBy("fp").agg(F.min("doc_id").alias("first")))
     root = components(links(distinct, most, cover)).withColumnRenamed("id", "fp")
-    of = distinct.join(root, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return cut(of.join(lowest, "root"))
+    linked = cut(distinct.join(root, "fp"))  # those alone are their own components
+    lowest = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
+    of = joined(linked, lowest, "root", "inner", lowest.count()).select("fp", "root", "component_id")
+    found = distinct.join(of, "fp", "left").withColumn("alone", F.col("root").isNull())
+    return cut(found.select("fp", "first", F.coalesce("root", "fp").alias("root"), F.when(F.col("alone"), F.col("first")).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def near_duplicates(documents: DataFrame, most: int = MOST) -> DataFrame:
@@ -221,58 +243,138 @@ def near_duplicates(documents: DataFrame, most: int = MOST) -> DataFrame:
     return known.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar(sets: list[np.ndarray], some: np.ndarray, others: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """For each of ``others``, whether its set is similar to that of any of ``some``."""
-    found = np.zeros(len(others), bool)
-    for k, other in enumerate(others.tolist()):
-        b = sets[other]
-        for one in some.tolist():
-            a = sets[one]
-            if min(len(a), len(b)) >= similarity * max(len(a), len(b)):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if both >= similarity * (len(a) + len(b) - both):
-                    found[k] = True
-                    break
-    return found
+class Overlaps:
+    """Sets of hashes, and for each the texts that have it."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+        distinct, self.ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.holders = owner[np.argsort(self.ids, kind="stable")]
+        self.at = np.concatenate(([0], np.cumsum(np.bincount(self.ids, minlength=len(distinct)))))
 
-def near_links(texts: DataFrame, most: int = SETS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``(a, b)`` that span the similar ones among ``texts(root, cid, text)`` of the same root."""
-    bounded_batches(texts.sparkSession, 512)
+    def similar(self, one: int, similarity: float = SIMILARITY) -> np.ndarray:
+        """For every set whether it is similar to set ``one``."""
+        ids = self.ids[self.starts[one] : self.starts[one + 1]]
+        lengths = self.at[ids + 1] - self.at[ids]
+        ends = np.cumsum(lengths)
+        places = np.repeat(self.at[ids] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        both = np.bincount(self.holders[places], minlength=len(self.sizes))
+        return (both > 0) & (both >= similarity * (self.sizes + self.sizes[one] - both) - 1e-9)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [distinct_hashes(x.as_py()).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("cid"), pa.array(found, pa.binary())], ["root", "cid", "set"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def set_links(sets: list[np.ndarray], group: np.ndarray, ask: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links between sets of different ``group`` that join the groups which any set of ``ask`` is similar to.
+
+    Sets that are reached are asked next, and groups once joined are one, so a dense group is asked for about once.
+    """
+    overlaps, group, links = Overlaps(sets), group.copy(), []
+    waiting = ask.copy()
+    for start in np.flatnonzero(ask).tolist():
+        queue = [start]
+        while queue:
+            one = queue.pop()
+            if not waiting[one]:
+                continue
+            waiting[one] = False
+            if not (group != group[one]).any():
+                return links
+            hit = np.flatnonzero(overlaps.similar(one, similarity) & (group != group[one]))
+            _, firsts = np.unique(group[hit], return_index=True)
+            for other in hit[firsts].tolist():
+                links.append((one, other))
+                group[group == group[other]] = group[one]
+            queue += hit[waiting[hit]].tolist()
+    return links
+
+
+def _compared(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` within each (``root``, ``part``) of ``rows(root, part, cid, group, ask, set)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in groups(batches, ["root", "part"]):
             cid, packed = table.column("cid").to_numpy(), table.column("set")
-            a, b = [], []
+            group, ask = table.column("group").to_numpy(), table.column("ask").to_numpy()
+            found = []
             for start, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 own = [np.frombuffer(x.as_py(), np.uint64) for x in packed.slice(start, end - start)]
-                for x, y in spanning(len(own), lambda some, others, own=own: similar(own, some, others, similarity)):
-                    a.append(cid[start + x])
-                    b.append(cid[start + y])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                found += [(int(cid[start + x]), int(cid[start + y])) for x, y in set_links(own, group[start:end], ask[start:end], similarity)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
-    parts = split_hot(cut(texts.select("root", "cid", "text").mapInArrow(sets, "root long, cid long, set binary")), "root", "cid", most)
-    return dealt(parts.select("root", "part", "cid", "set"), "root", "part").mapInArrow(compare, "a long, b long")
+    return dealt(rows.select("root", "part", "cid", "group", "ask", "set"), "root", "part").mapInArrow(run, "a long, b long")
 
 
-def shingle_counts(texts: DataFrame) -> np.ndarray:
-    """How many of a sample of ``texts(text)`` have a shingle of each bucket; the sample goes by the words."""
+def near_groups(texts: DataFrame, together: int = TOGETHER, similarity: float = SIMILARITY) -> DataFrame:
+    """``cid, group`` for the linked ones among ``texts(root, cid, text)``: those of a root that similar ones join share a group."""
+    bounded_batches(texts.sparkSession, 512)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [distinct_hashes(x.as_py()) for x in batch.column("text")]
+            sizes, packed = pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("cid"), sizes, packed], ["root", "cid", "size", "set"])
+
+    rows = cut(texts.select("root", "cid", "text").mapInArrow(sets, "root long, cid long, size long, set binary"))
+    chunks = F.ceil(F.sum("size") / together).cast("int")
+    roots = cut(rows.groupBy("root").agg(chunks.alias("k")).where("k > 1"))
+    hot = roots.count()
+    alone = rows.withColumn("group", F.col("cid")).withColumn("ask", F.lit(True))
+    if not hot:
+        return components(_compared(alone.withColumn("part", F.lit(0)), similarity)).select(F.col("id").alias("cid"), F.col("root").alias("group"))
+    alone = joined(alone, roots, "root", "left", hot).withColumn("k", F.coalesce("k", F.lit(1)))
+    found = cut(_compared(alone.withColumn("part", F.lit(0)).where("k = 1"), similarity))
+    some = alone.where("k > 1")
+    for turn in range(ROUNDS):
+        part = F.pmod(F.xxhash64("cid", F.lit(turn)), F.col("k")).cast("int")
+        found = cut(found.union(_compared(some.withColumn("part", part), similarity)))
+    # what isn't in the largest group of its root meets all of it
+    label = components(found).select(F.col("id").alias("cid"), F.col("root").alias("label"))
+    some = some.join(label, "cid", "left").withColumn("group", F.coalesce("label", "cid")).drop("label")
+    sizes = cut(some.groupBy("root", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")))
+    first = sizes.groupBy("root").agg(F.max(F.struct("n", "group")).alias("largest"), F.sum("size").alias("all"))
+    rest = sizes.join(first, "root").where(F.col("group") != F.col("largest.group")).groupBy("root", F.col("largest.group").alias("largest"))
+    rest = cut(rest.agg(F.ceil(F.sum("size") / together).cast("int").alias("m")))
+    left = rest.count()
+    if left:
+        some = joined(some, rest, "root", "inner", left).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("m")).cast("int")).withColumn("j", F.pmod(F.xxhash64("cid", F.lit(-1)), F.col("k")).cast("int"))
+        asks, answers = some.where("group <> largest"), some.withColumn("ask", F.lit(False))
+        asks = asks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        answers = answers.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        both = asks.unionByName(answers).withColumn("part", F.col("i") * F.col("k") + F.col("j"))
+        found = found.union(_compared(both, similarity))
+    return components(found).select(F.col("id").alias("cid"), F.col("root").alias("group"))
+
+
+def features(texts: DataFrame) -> DataFrame:
+    """Of ``texts(cid, text)``: rows ``(cid, size, s0, ...)``, the size and fingerprint of each set of shingles, and rows
+    ``(at, counts)``, how many sets have a shingle of each bucket, by task and ``BUCKETS_A_ROW`` buckets."""
+    turns = SKETCH // 64
+    names = ["cid", "size", *(f"s{k}" for k in range(turns)), "at", "counts"]
+    kinds = pa.schema([(n, pa.binary() if n == "counts" else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(BUCKETS, np.int32)
+        total = np.zeros(BUCKETS, np.int32)
         for batch in batches:
-            for x in batch.column("text"):
-                if words_hash(text := x.as_py())[0] % SAMPLED == 0:
-                    np.add.at(found, bucket_of(distinct_hashes(text)), 1)
-        rows = found.reshape(-1, BUCKETS_A_ROW)
+            size, sketch = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, turns), np.uint64)
+            for k, text in enumerate(batch.column("text")):
+                found = distinct_hashes(text.as_py())
+                np.add.at(total, bucket_of(found), 1)
+                size[k], sketch[k] = len(found), majority((found[at : at + AT_ONCE] for at in range(0, len(found), AT_ONCE)), SKETCH)
+            none = pa.nulls(batch.num_rows)
+            own = [batch.column("cid"), pa.array(size), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in sketch.T), none, none]
+            yield pa.RecordBatch.from_arrays([x.cast(k) for x, k in zip(own, kinds.types, strict=True)], schema=kinds)
+        rows = total.reshape(-1, BUCKETS_A_ROW)
         some = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([x.tobytes() for x in rows[some]], pa.binary())], ["at", "counts"])
+        own = [*([pa.nulls(len(some))] * (len(names) - 2)), pa.array(some), pa.array([x.tobytes() for x in rows[some]], pa.binary())]
+        yield pa.RecordBatch.from_arrays([x.cast(k) for x, k in zip(own, kinds.types, strict=True)], schema=kinds)
+
+    return texts.select("cid", "text").mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'counts' else 'long'}" for n in names))
+
+
+def shingle_counts(found: DataFrame) -> np.ndarray:
+    """How many sets have a shingle of each bucket, summed up from :func:`features`; 4 MB for any number of texts."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -281,15 +383,15 @@ def shingle_counts(texts: DataFrame) -> np.ndarray:
                 total[at] = total.get(at, 0) + np.frombuffer(counts.as_py(), np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["at", "counts"])
 
-    parts = texts.select("text").mapInArrow(run, "at long, counts binary")
     often = np.zeros((BUCKETS // BUCKETS_A_ROW, BUCKETS_A_ROW), np.int32)
-    for at, counts in parts.repartition(partitions(texts.sparkSession), "at").mapInArrow(add, "at long, counts binary").collect():
+    parts = found.where("at IS NOT NULL").select("at", "counts")
+    for at, counts in parts.repartition(partitions(found.sparkSession), "at").mapInArrow(add, "at long, counts binary").collect():
         often[at] = np.frombuffer(counts, np.int32)
     return often.ravel()
 
 
 def candidates(texts: DataFrame, often: np.ndarray, similarity: float = SIMILARITY, listed: int = LISTED) -> DataFrame:
-    """Links ``(a, b)`` between ``texts(cid, text)``: any two whose shingles are similar are in one component of these."""
+    """Pairs ``(a, b)`` of ``texts(cid, text)``, some more than once: any two whose shingles are similar are joined by them."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,26 +418,45 @@ def candidates(texts: DataFrame, often: np.ndarray, similarity: float = SIMILARI
             follows = np.repeat(sizes > listed, sizes)
             follows[starts] = False
             y = np.flatnonzero(follows)
-            x, y = np.concatenate([*a, y - 1]), np.concatenate([*b, y])
+            x, y, sure = np.concatenate([*a, y - 1]), np.concatenate([*b, y]), np.repeat([False, True], [sum(map(len, a)), len(y)])
             ok = size[x] >= similarity * size[y] - 1e-6
             if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(cid[x[ok]]), pa.array(cid[y[ok]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(cid[x[ok]]), pa.array(cid[y[ok]]), pa.array(sure[ok])], ["a", "b", "step"])
 
     rows = texts.select("cid", "text").mapInArrow(prefixes, "shingle long, at long, cid long")
     rows = rows.repartition(partitions(texts.sparkSession), "shingle").sortWithinPartitions("shingle", "at")
-    return rows.mapInArrow(pairs, "a long, b long")
+    return rows.mapInArrow(pairs, "a long, b long, step boolean")
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, apart: int = APART) -> DataFrame:
+    """Distinct ``pairs(a, b, step)`` that the sketches don't rule out; steps between neighbours in size are not ruled out."""
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("step").alias("step"))
+    words = [f"s{k}" for k in range(SKETCH // 64)]
+    side = lambda x: sketches.select(F.col("cid").alias(x), *(F.col(n).alias(f"{x}_{n}") for n in ("size", *words)))
+    differ = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in words[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
+    found = pairs.join(side("a"), "a").join(side("b"), "b")
+    return found.where(F.col("step") | (F.least("a_size", "b_size") < PLAIN) | (differ <= apart)).select("a", "b")
+
+
+def fingerprint_links(sketches: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of ``sketches(cid, s0, ...)`` whose first 64 bits differ in ``THRESHOLD`` or fewer, as :func:`links`."""
+    distinct = cut(sketches.where("size > 0").groupBy(F.col("s0").alias("fp")).agg(F.min("cid").alias("first")))
+    equal = sketches.join(distinct, F.col("s0") == F.col("fp")).select(F.col("first").alias("a"), F.col("cid").alias("b")).where("a <> b")
+    one, other = (distinct.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first")) for x in ("a", "b"))
+    near = links(distinct).join(one, "a").join(other, "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    return equal.union(near)
 
 
-def deduplicated(documents: DataFrame, sets: int = SETS) -> DataFrame:
+def deduplicated(documents: DataFrame, together: int = TOGETHER) -> DataFrame:
     """The documents without all but one of each group of near copies: the row with its smallest doc_id (nulls last) stays.
 
-    Texts of the same words are one class; texts without words are one too. Rows are told apart by their place in the scan,
-    which is the same each time the same files are read; the rows that go, not the texts that stay, are what the
-    scan is joined with.
+    Texts of the same words are one class; texts without words are one too. Rows are numbered once, in a table in the shared
+    folder that every later scan reads, so no change of partitions between scans can mix rows up. The rows that go, not
+    the texts that stay, are what the last scan is joined with.
     """
     bounded_batches(documents.sparkSession)
     row = fresh(documents, "_row")
-    placed = documents.withColumn(row, F.monotonically_increasing_id())
+    placed = stored(documents.withColumn(row, F.monotonically_increasing_id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,20 +464,22 @@ def deduplicated(documents: DataFrame, sets: int = SETS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["_row", "doc_id", "words", "more"])
 
     slim = placed.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    often = shingle_counts(slim)
     known = cut(slim.mapInArrow(run, "_row long, doc_id long, words long, more long"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     classes = cut(known.groupBy("words", "more").agg(F.min(order).alias("best")))
     classes = classes.select("best", F.col("best._row").alias("cid"))
     again = cut(known.join(classes.select(F.col("cid").alias("_row")), "_row", "left_anti").select("_row"))
-    firsts = joined(slim.select("_row", "text"), again, "_row", "left_anti", again.count()).withColumnRenamed("_row", "cid")
-    asked = cut(components(candidates(firsts, often)).select("root", F.col("id").alias("_row")))
-    texts = joined(slim.select("_row", "text"), asked, "_row", "inner", asked.count()).withColumnRenamed("_row", "cid")
-    linked = components(near_links(texts, sets)).withColumnRenamed("id", "cid").withColumnRenamed("root", "group")
+    firsts = joined(slim.select("_row", "text"), again, "_row", "left_anti", again.count(), KEYS).withColumnRenamed("_row", "cid")
+    found = cut(features(firsts))
+    sketches = found.where("cid IS NOT NULL").drop("at", "counts")
+    pairs = plausible(cut(candidates(firsts, shingle_counts(found))), sketches).union(fingerprint_links(sketches))
+    asked = cut(components(pairs).select("root", F.col("id").alias("_row")))
+    texts = joined(slim.select("_row", "text"), asked, "_row", "inner", asked.count(), KEYS).withColumnRenamed("_row", "cid")
+    linked = near_groups(texts, together)
     grouped = classes.join(linked, "cid", "left").withColumn("group", F.coalesce("group", "cid"))
     kept = grouped.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
     gone = cut(known.select("_row").join(kept, "_row", "left_anti"))
-    return joined(placed, gone.withColumnRenamed("_row", row), row, "left_anti", gone.count()).drop(row)
+    return joined(placed, gone.withColumnRenamed("_row", row), row, "left_anti", gone.count(), KEYS).drop(row)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

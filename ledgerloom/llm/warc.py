@@ -18,7 +18,6 @@ columns are not archived.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, cut, joined, partitions, shared_dir
+from ledgerloom.llm.common import bounded_batches, cut, joined, partitions, scratch
 
 LEAST, ARCHIVE, PIECE = 100, 64 << 20, 1 << 18
 DATE = "2024-01-01T00:00:00Z"
@@ -185,12 +184,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes the pages' archives to the shared folder, reads them back, and removes them."""
-    spark = pages.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    found = cut(read_archives(write_archives(pages, folder), folder))
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return found
+    with scratch(pages.sparkSession, "warc") as folder:
+        return cut(read_archives(write_archives(pages, folder), folder))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

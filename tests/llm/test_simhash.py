@@ -115,8 +115,8 @@ def plain_kept(rows, similarity=0.8):
     return list(best.values())
 
 
-@pytest.mark.parametrize("sets", [op.SETS, 3])
-def test_near_copies_go(spark, sets):
+@pytest.mark.parametrize("together", [op.TOGETHER, 900])
+def test_near_copies_go(spark, together):
     rnd = random.Random(8)
     rows = [(k, prose("en", 250, k), "en", "s") for k in range(30)]
     for k in range(60):
@@ -126,7 +126,7 @@ def test_near_copies_go(spark, sets):
         rows.append((100 + k, " ".join(words), "en", "s"))
     rows += [(300 + k, rows[3][1] + " more" * (k % 3), "en", "s") for k in range(20)]
     rnd.shuffle(rows)
-    kept = op.deduplicated(documents(spark, rows), sets=sets)
+    kept = op.deduplicated(documents(spark, rows), together=together)
     want = plain_kept(rows)
     assert len(want) < 70
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
@@ -197,3 +197,49 @@ def test_awkward_rows(spark):
     assert kept.where("_row <> 7").count() == 0
     assert sorted((str(r["doc_id"]) for r in kept.collect())) == sorted(map(str, plain_kept(rows)))
     assert op.deduplicated(df.limit(0)).count() == 0
+
+
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path, monkeypatch):
+    rnd, name = random.Random(3), "spark.sql.files.maxPartitionBytes"
+    rows = [(k, prose("en", 120, k // 2), "en", "s") for k in range(400)]
+    rnd.shuffle(rows)
+    documents(spark, rows).repartition(7).write.parquet(f"{tmp_path}/docs")
+    docs, sizes = spark.read.parquet(f"{tmp_path}/docs"), iter([4096, 1 << 27, 8192, 1 << 20] * 20)
+    real, before = op.cut, spark.conf.get(name)
+
+    def cut(df):
+        found = real(df)
+        spark.conf.set(name, str(next(sizes)))
+        return found
+
+    monkeypatch.setattr(op, "cut", cut)
+    try:
+        assert sorted(r["doc_id"] for r in op.deduplicated(docs).collect()) == list(range(0, 400, 2))
+    finally:
+        spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("together", [1 << 20, 2000, 300])
+def test_groups_of_texts_match_all_pairs(spark, together):
+    """One root that holds a large group, some small ones and texts alone, in any chunks."""
+    rnd, rows = random.Random(9), []
+    for base, many in ((1, 60), (2, 5), (3, 1), (4, 2), (5, 1)):
+        words = prose("en", 90, base).split()
+        for _ in range(many):
+            own = list(words)
+            own[rnd.randrange(90)] = f"w{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own), "en", "s"))
+    texts = spark.createDataFrame([(7, k, t) for k, t, *_ in rows], "root long, cid long, text string")
+    of = {r["cid"]: r["group"] for r in op.near_groups(texts, together).collect()}
+    assert sorted({of.get(k, k) for k, *_ in rows}) == sorted(plain_kept(rows))
+
+
+def test_sketches_rule_out_no_pair(spark):
+    rng = np.random.default_rng(2)
+    for n in (64, 200, 900):
+        for _ in range(60):
+            pool = rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64)
+            a, b = pool[:n], pool[n // 9 : n + n // 9]
+            both = len(np.intersect1d(a, b))
+            assert both < 0.81 * (len(a) + len(b) - both)
+            assert np.bitwise_count(op.majority(iter([a]), op.SKETCH) ^ op.majority(iter([b]), op.SKETCH)).sum() <= op.APART
