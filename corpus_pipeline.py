@@ -4,7 +4,7 @@ Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage befo
 columns of ``documents``:
 
 - language_id drops documents without a language (no letters, or nothing was learned); a missing ``lang`` is filled in.
-- simhash_near_dedup keeps, of each group of linked fingerprints, the row with the smallest doc_id.
+- simhash_near_dedup keeps, of each group of near copies, the row with the smallest doc_id.
 - secret_scan redacts secrets in the text and sets ``n_chars`` to match; no document goes.
 - source_mix repeats documents as often as the mix takes them; those it doesn't take go.
 - byte_bpe encodes and decodes: doc_id, n_tokens, ids_sha256, decoded_sha256.
@@ -12,13 +12,11 @@ columns of ``documents``:
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, language_id, secret_scan, simhash, source_mix
-from ledgerloom.llm.common import cut, fresh, remainder, shared_dir
+from ledgerloom.llm.common import cut, fresh, remainder, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +49,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``, each written to the shared folder and read again by the next one."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    found = cut(STAGES[-1][1](spark, docs, sf_dir))
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return found
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with scratch(spark, "pipeline") as folder:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+        return cut(STAGES[-1][1](spark, docs, sf_dir))
