@@ -1,14 +1,18 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
 Ranks come from a tiktoken rank file, and each match of the split pattern is encoded by itself, without special tokens.
-Texts of up to ``CHUNK`` characters are one piece. A longer text is cut near every multiple of ``CHUNK``: the
-neighbourhood of the border is split into pre-tokens twice, as the chunk on its left sees it (from ``OVERLAP`` characters
-earlier) and as the chunk on its right does (from the border), and the cut goes to the first place where a pre-token
-ends in both and which is stable: a character that isn't white space, then white space. No pre-token of the pattern goes on
-over such a place, it looks ahead only behind white space, and it never looks back, so each piece splits by itself as it
-does within the whole text. Where the two don't meet the overlap is doubled, up to the text's end, in which case the
-pieces stay together. The pieces of long texts are then encoded in parallel, in any task, and put together again in
-their order while ids and decoded bytes flow through the digests; a task holds one piece at a time.
+Texts of up to ``CHUNK`` characters are one piece. A longer text is cut near every multiple of ``CHUNK``: it is split into
+pre-tokens twice from there on, as the chunk on its left sees it (from ``OVERLAP`` characters earlier) and as the chunk on its
+right does (from the border), and the cut goes to the first place where a pre-token ends in both and which is stable.
+Stable places lie behind a character that isn't white space, before one of another class (white space, letters, numbers,
+others), but for a letter behind an apostrophe. No pre-token of the pattern goes on over such a place, it looks ahead only
+behind white space, and it never looks back, so each piece splits by itself as it does within the whole text. A search goes
+on to the place or, once, to the text's end: the time is linear in the text, and only what no place divides stays together.
+The pieces of long texts are then encoded in parallel, in any task, and put together again in their order while ids and
+decoded bytes flow through the digests; a task holds one piece at a time. Other patterns than the public one get no cuts.
+
+A run of ``RUN`` or more white space characters, which the library's expressions cannot take at any length, is split by
+hand as the pattern does: all of it, or all but its last character if another one follows, is one pre-token.
 
 Decoding concatenates the raw bytes of the ids.
 
@@ -33,9 +37,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import bounded_batches, partitions, picked
 
-CHUNK, OVERLAP = 32768, 512
+CHUNK, OVERLAP, RUN = 32768, 512, 1 << 16
 RANKS = "byte_bpe_50k.tiktoken"
 COLUMNS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Places that no pre-token of the public pattern goes on over, whatever stands before and after.
+STABLE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
+SPACES = regex.compile(r"\s{%d,}" % RUN)
 
 
 @cache
@@ -47,38 +54,48 @@ def codec(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def encode(text: str | None, path: str, pattern: str) -> list[int]:
-    return codec(path, pattern).encode_ordinary(text or "")
+    text, of = text or "", codec(path, pattern)
+    if len(text) < RUN or pattern != public_tokenizers.PATTERN:
+        return of.encode_ordinary(text)
+    ids, at = [], 0
+    for run in SPACES.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += of.encode_ordinary(text[at : run.start()])
+        ids += of._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + of.encode_ordinary(text[at:])
 
 
 def decode(ids: list[int], path: str, pattern: str) -> bytes:
     return codec(path, pattern).decode_bytes(ids)
 
 
-def ends(text: str, start: int, stop: int, split: regex.Pattern) -> set[int]:
-    """Where the pre-tokens of text[start:stop] end, taken by themselves."""
-    return {m.end() for m in split.finditer(text[:stop], start)}
+def meeting(text: str, border: int, overlap: int, split: regex.Pattern, start: int = 0) -> int | None:
+    """The first stable place behind ``border`` where a pre-token ends, split from ``overlap`` earlier and from ``border``."""
+    left = (m.end() for m in split.finditer(text, max(start, border - overlap)))
+    right = (m.end() for m in split.finditer(text, border))
+    a = b = border
+    while True:
+        a, b = next(left, None), next(right, None)
+        while a is not None and b is not None and a != b:
+            a, b = (next(left, None), b) if a < b else (a, next(right, None))
+        if a is None or b is None or a == len(text):
+            return None
+        if STABLE.match(text, a):
+            return a
 
 
 def cut_points(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     """Where a long text is cut: 0, stable places that pre-tokenisations from either side share, and its length."""
     split, found = regex.compile(pattern), [0]
-    for border in range(chunk, len(text), chunk):
-        if border <= found[-1]:
-            continue
-        width = overlap
-        while True:
-            stop = min(len(text), border + width)
-            both = ends(text, max(found[-1], border - width), stop, split) & ends(text, border, stop, split)
-            place = min((p for p in both if p < len(text) and text[p].isspace() and not text[p - 1].isspace()), default=None)
-            if place is not None or stop == len(text):
-                break
-            width *= 2
-        if place is not None:
+    for border in range(chunk, len(text), chunk) if pattern == public_tokenizers.PATTERN else ():
+        if border > found[-1]:
+            if (place := meeting(text, border, overlap, split, found[-1])) is None:
+                break  # nor is there one for any later border
             found.append(place)
     return [*found, len(text)]
 
 
-
 def encoded(documents: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, keep_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, with ``keep_ids``, ``ids`` (an array) for every document."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
