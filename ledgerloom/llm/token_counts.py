@@ -5,10 +5,11 @@ the encodings are spliced inside each overlap at a stable common boundary.
 
 Proof that a boundary is stable. No piece of the vocabulary holds the space mark behind any other character (checked
 when a model is loaded), so no merge ever joins a character other than a space to a space behind it, and everything left
-and right of such a place is merged by itself. Every chunk that holds both characters has a token boundary there, which
-each chunk verifies in its own offsets: the chunk left of it counts the tokens before the place, the chunk right of it
-those from there on. Where an overlap of ``OVERLAP`` characters has no such place it is doubled, up to the
-end of the text, where the chunks become one. A task holds one chunk at a time; a text itself is one row.
+and right of such a place is merged by itself. Every chunk that holds both characters has a token boundary there. A place is only taken once the encodings of its
+neighbourhood, as the chunk on its left sees it and as the one on its right does, both have that boundary and agree behind
+it; where they don't, the overlap is widened to the next place, up to the text's end, where the chunks become one. Each chunk
+verifies its places once more in its own offsets: the chunk left of a place counts the tokens before it, the chunk right of
+it those from there on. A task holds one chunk at a time; a text itself is one row.
 
 Edge cases: a null text is empty; an empty text has no tokens and no bytes. Repeated rows and ids are kept, a row each;
 doc_id may be null. No rows give no rows. Other columns play no part.
@@ -43,29 +44,38 @@ def model(path: str) -> tuple[sentencepiece.SentencePieceProcessor, bool]:
     return loaded, stable and alike
 
 
-def splice(text: str, border: int, overlap: int) -> int | None:
-    """The first stable place from ``border`` on: before a space behind another character, with more text to come."""
-    width = overlap
-    while True:
-        stop = min(len(text) - 1, border + width)
-        at = text.find(" ", border, stop)
-        while at >= 0 and text[at - 1] in f" {MARK}":
-            at = text.find(" ", at + 1, stop)
-        if at > 0:
+def starts(text: str, loaded: sentencepiece.SentencePieceProcessor) -> list[int]:
+    """Where tokens begin, in bytes."""
+    return [piece.begin for piece in loaded.encode(text, return_type="proto").pieces]
+
+
+def aligned(text: str, at: int, overlap: int, loaded: sentencepiece.SentencePieceProcessor) -> bool:
+    """Whether the encodings of what is around ``at``, and of what is behind it, begin the same tokens from there on."""
+    before, after = text[max(0, at - overlap) : at], text[at : at + overlap]
+    shift = len(before.encode())
+    return [x - shift for x in starts(before + after, loaded) if x >= shift] == starts(after, loaded)
+
+
+def splice(text: str, border: int, overlap: int, loaded: sentencepiece.SentencePieceProcessor | None = None) -> int | None:
+    """The first place from ``border`` on where chunks meet: before a space behind another character, with more text to come."""
+    at = text.find(" ", border, len(text) - 1)
+    while at >= 0:
+        if text[at - 1] not in f" {MARK}" and (loaded is None or aligned(text, at, overlap, loaded)):
             return at
-        if stop >= len(text) - 1:
-            return None
-        width *= 2
+        at = text.find(" ", at + 1, len(text) - 1)
+    return None
 
 
-def chunks(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[str, int, int]]:
+def chunks(text: str, chunk: int = CHUNK, overlap: int = OVERLAP, loaded: sentencepiece.SentencePieceProcessor | None = None) -> list[tuple[str, int, int]]:
     """Overlapping chunks of ``text`` as (chunk, first, last): it counts the tokens in first to last, chunk offsets.
 
     A chunk begins up to ``overlap`` characters before its first place and ends as much behind its last one.
     """
     places = [0]
     for border in range(chunk, len(text), chunk):
-        if border > places[-1] and (at := splice(text, border, overlap)) is not None:
+        if border > places[-1]:
+            if (at := splice(text, border, overlap, loaded)) is None:
+                break  # nor is there one for any later border
             places.append(at)
     places.append(len(text))
     found = []
@@ -77,7 +87,7 @@ def chunks(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[
 
 def count_chunk(text: str, first: int, last: int, path: str) -> int:
     """Tokens of a chunk whose offsets lie in first to last; both must be boundaries of its encoding."""
-    begins = [piece.begin for piece in model(path)[0].encode(text, return_type="proto").pieces]  # in bytes
+    begins = starts(text, model(path)[0])
     first, last, end = (len(text[:at].encode()) for at in (first, last, len(text)))
     inside = sum(first <= at < last for at in begins)
     if (first and first not in begins) or (last < end and last not in begins):
@@ -90,7 +100,7 @@ def count(text: str | None, path: str, chunk: int = CHUNK, overlap: int = OVERLA
     loaded, stable = model(path)
     if text is None or len(text) <= chunk or not stable:
         return len(loaded.encode(text or "", num_threads=1))
-    return sum(count_chunk(*part, path) for part in chunks(text, chunk, overlap))
+    return sum(count_chunk(*part, path) for part in chunks(text, chunk, overlap, loaded))
 
 
 def counted(documents: DataFrame, path: str | None = None, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -109,9 +119,10 @@ def counted(documents: DataFrame, path: str | None = None, limit: int = LIMIT, c
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = model(path)[0]
         for batch in batches:
             for row, doc_id, n_bytes, text in zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "n_bytes", "text")), strict=True):
-                for part, first, last in chunks(text, chunk, overlap):
+                for part, first, last in chunks(text, chunk, overlap, loaded):
                     yield pa.RecordBatch.from_pydict({"row": [row], "doc_id": [doc_id], "n_bytes": [n_bytes], "part": [part], "first": [first], "last": [last]}, kinds)
 
     kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("part", pa.string()), ("first", pa.int64()), ("last", pa.int64())])

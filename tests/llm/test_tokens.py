@@ -3,10 +3,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import sentencepiece
 import tiktoken
 
@@ -52,6 +54,58 @@ def test_text_is_really_cut():
     assert len(token_counts.chunks(text, 1000, 50)) > 5
 
 
+def long_texts():
+    rnd = random.Random(5)
+    mixed = "".join(rnd.choice("日本語漢字。，！中文字符") for _ in range(2_000_000))
+    return {"spaces": " " * 2_000_000, "lines": "\n" * 2_000_000 + "x", "letters": "a" * 2_000_000, "inside": "b" + " " * 1_000_000 + "c" + "\n" * 1_000_000, "mixed": mixed}
+
+
+@pytest.mark.parametrize("name", ["spaces", "lines", "letters", "inside", "mixed"])
+def test_long_texts_take_seconds(name):
+    text, path = long_texts()[name], P.path(bpe.RANKS)
+    began = time.process_time()
+    at = bpe.cut_points(text, P.PATTERN)
+    ids = [x for a, b in zip(at, at[1:], strict=False) for x in bpe.encode(text[a:b], path, P.PATTERN)]
+    assert bpe.decode(ids, path, P.PATTERN) == text.encode()
+    assert time.process_time() - began < 30
+    if name in ("letters", "mixed"):
+        assert ids == LIBRARY.encode_ordinary(text)
+    else:  # the library's expressions overflow; each match of the pattern by itself
+        assert ids == [x for m in regex.finditer(P.PATTERN, text) for x in LIBRARY._encode_single_piece(m[0])]
+    assert (len(at) > 50) == (name == "mixed")
+    assert token_counts.count(text, P.path(token_counts.MODEL)) == len(PIECES.encode(text))
+
+
+@pytest.mark.parametrize("char", ["\x1c", "\x1f", "\x85", "\xa0", "\u180e", "\u200b", "\u2028", "\u3000", "\ufeff", "'", "é", "٣", "²", "_"])
+def test_odd_characters_beside_places(char):
+    text = "".join(random.Random(char).choice([char, "'s", "'ll", "'", " ", "a", "1", "!", "\n", "l"]) for _ in range(3000))
+    at = bpe.cut_points(text, P.PATTERN, 20, 4)
+    assert [x for a, b in zip(at, at[1:], strict=False) for x in bpe.encode(text[a:b], P.path(bpe.RANKS), P.PATTERN)] == LIBRARY.encode_ordinary(text)
+    assert token_counts.count(text, P.path(token_counts.MODEL), 30, 4) == len(PIECES.encode(text))
+
+
+def test_runs_of_white_space_are_split_as_the_pattern_does(monkeypatch):
+    monkeypatch.setattr(bpe, "RUN", 3)
+    monkeypatch.setattr(bpe, "SPACES", regex.compile(r"\s{3,}"))
+    rnd = random.Random(2)
+    for _ in range(200):
+        text = "".join(rnd.choice(["   ", " ", "\n\n\n", "\u3000" * 4, "ab", "1", "!", "'s"]) for _ in range(12))
+        assert bpe.encode(text, P.path(bpe.RANKS), P.PATTERN) == LIBRARY.encode_ordinary(text)
+
+
+def test_places_widen_until_both_sides_agree(monkeypatch):
+    real, refused = token_counts.aligned, []
+
+    def aligned(text, at, overlap, loaded):
+        refused.append(at)
+        return len(refused) % 3 == 0 and real(text, at, overlap, loaded)
+
+    monkeypatch.setattr(token_counts, "aligned", aligned)
+    text = prose("en", 900, 4)
+    assert token_counts.count(text, P.path(token_counts.MODEL), 500, 20) == len(PIECES.encode(text))
+    assert len(refused) > 10
+
+
 def packed(ids):
     return hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
