@@ -10,11 +10,15 @@ largest languages, re-estimated each: log likelihood less ``PENALTY`` * language
 with when even the likelihood that no mixture exceeds (log likelihood is concave in the proportions, so its slopes at any
 one bound it) would not make up for the penalty; that depends on no other document. The prediction is the largest proportion of the selected set, ties to the smaller name, and the score is that proportion.
 
-Whole texts are used, in chunks of about ``AT_ONCE`` characters: a document's trigrams are counted, so its memory is bounded by
-the buckets.
+Whole texts are used, in chunks of about ``AT_ONCE`` characters with the characters beside them: a document's trigrams are
+counted, so its memory is bounded by the buckets. A text's result depends on no other text, batch or chunk.
+
+The model has ``BUCKETS`` numbers per language, 256 KB, on the driver and in each worker, and fitting takes time with the number of
+languages for each set size. That is meant for hundreds of languages; over ``LANGUAGES`` learned labels are an error.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0. Without any learned language a text with letters
 is ``und`` too. Null ids are not held out and not learned from. Repeated rows are rows of their own. No rows give no rows.
+Texts of any length are taken. Columns other than doc_id, text and lang, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import bounded_batches, cut, hash_sample, joined, picked, remainder
 
-BUCKETS, SAMPLE, PENALTY, AT_ONCE, SMOOTH = 1 << 15, 400, 6.0, 1 << 20, 0.05
+BUCKETS, SAMPLE, PENALTY, AT_ONCE, SMOOTH, LANGUAGES = 1 << 15, 400, 6.0, 1 << 20, 0.05, 500
 FIRST, AGAIN = 10, 5
 UNKNOWN = "und"
 
@@ -54,16 +58,16 @@ def letters() -> np.ndarray:
     return found
 
 
-def grams(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and bucket of every trigram of the owners' texts, which follow each other in ``codes``."""
+def grams(codes: np.ndarray, owner: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and bucket of every trigram of the owners' texts, which follow each other in ``codes``; those around ``own``, if given."""
     low = letters()[codes]
     same = np.zeros(len(codes), bool)
     same[1:] = owner[1:] == owner[:-1]
     keep = low > 0
     keep[1:] |= (low[:-1] > 0) & same[1:]
     low, owner = low[keep].astype(np.uint32), owner[keep]
-    if len(low) < 2:
-        return owner[:0], low[:0].astype(np.int64)
+    if not len(low):
+        return owner, low.astype(np.int64)
     # a space stands before the first letter, so the letters of a text of any length count
     before = np.zeros(len(low), np.uint32)
     edge = np.zeros(len(low), bool)
@@ -76,7 +80,7 @@ def grams(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     last = np.append(edge[1:], True)
     after[last] = 0
     mixed = (before * np.uint32(0x9E3779B1) ^ low * np.uint32(0x85EBCA6B) ^ after * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
-    real = low > 0
+    real = low > 0 if own is None else (low > 0) & own[keep]
     return owner[real], (mixed[real] >> np.uint32(17)).astype(np.int64)
 
 
@@ -84,13 +88,13 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """Owner, bucket and number of every distinct trigram of every text, in the order of owners."""
     found: list[np.ndarray] = []
     numbers: list[np.ndarray] = []
-    held: list[tuple[int, np.ndarray]] = []
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush() -> None:
-        codes = np.concatenate([c for _, c in held])
-        owner = np.repeat(np.array([k for k, _ in held]), [len(c) for _, c in held])
-        of, bucket = grams(codes, owner)
+        codes, own = (np.concatenate([x[j] for x in held]) for j in (1, 2))
+        owner = np.repeat(np.array([x[0] for x in held]), [len(x[1]) for x in held])
+        of, bucket = grams(codes, owner, own)
         key = np.sort(of * BUCKETS + bucket)
         if len(key):
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -100,9 +104,11 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     for k, text in enumerate(texts):
         codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
         for at in range(0, len(codes), AT_ONCE):
-            held.append((k, codes[at : at + AT_ONCE]))
-            size += len(held[-1][1])
-            if size >= AT_ONCE:
+            low, high = max(0, at - 1), min(len(codes), at + AT_ONCE + 1)  # a character on either side, not counted here
+            place = np.arange(low, high)
+            held.append((k, codes[low:high], (place >= at) & (place < at + AT_ONCE)))
+            size += high - low
+            if size >= AT_ONCE or high < len(codes):
                 flush()
                 held, size = [], 0
     if held:
@@ -171,6 +177,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     spark = labelled.sparkSession
     bounded_batches(spark, 256)
     rows = picked(labelled, ("doc_id", "long"), ("text", "string"), ("lang", "string")).where("lang IS NOT NULL AND doc_id IS NOT NULL")
+    if len(rows.select("lang").distinct().limit(LANGUAGES + 1).collect()) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages: map labels to fewer ones")
     chosen = cut(hash_sample(rows.select("doc_id", "lang"), "lang", "doc_id", sample).distinct())
     texts = joined(rows, chosen, ["doc_id", "lang"], "inner", chosen.count())
 

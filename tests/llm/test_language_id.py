@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 
 from helpers import awkward, documents, prose
 from ledgerloom.llm import language_id as op
@@ -96,3 +97,61 @@ def test_awkward_rows(spark):
     kept = op.with_language(df, op.learn(df))
     assert kept.columns[: len(df.columns) - 1] == [c for c in df.columns if c != "score"]
     assert kept.count() == len(rows)
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 7, 1 << 20])
+def test_counts_do_not_depend_on_chunks_or_neighbours(at_once, monkeypatch):
+    texts = ["a", "", None, "é a1b  c", "1a", " a b ", "12", prose("de", 60, 1) + "," + prose("fr", 20, 2), "日本語。テ", "x"]
+
+    def plain(text):
+        low = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")
+        low = f" {' '.join(low.split())} "
+        return sum(c != " " for c in low)
+
+    want = [op.counts([t])[1:] for t in texts]
+    assert [int(n.sum()) for _, n in want] == [plain(t) for t in texts]
+    monkeypatch.setattr(op, "AT_ONCE", at_once)
+    owner, bucket, number = op.counts(texts)
+    for k, (buckets, numbers) in enumerate(want):
+        assert bucket[owner == k].tolist() == buckets.tolist()
+        assert number[owner == k].tolist() == numbers.tolist()
+
+
+def plain_mixture(text, model):
+    """Proportions by expectation-maximisation in loops, with every size of set tried."""
+    _, bucket, number = op.counts([text])
+    many, n = len(model.languages), number.sum()
+
+    def fitted(share, rounds):
+        for _ in range(rounds):
+            new = [0.0] * many
+            for b, k in zip(bucket, number, strict=True):
+                whole = sum(share[i] * model.likelihood[b, i] for i in range(many))
+                for i in range(many):
+                    new[i] += k * share[i] * model.likelihood[b, i] / whole / n
+            share = new
+        return share, sum(k * np.log(sum(share[i] * model.likelihood[b, i] for i in range(many))) for b, k in zip(bucket, number, strict=True))
+
+    if not n:
+        return [0.0] * many
+    full, _ = fitted([1 / many] * many, op.FIRST)
+    order, best = sorted(range(many), key=lambda i: -full[i]), (-np.inf, None)
+    for size in range(1, many + 1):
+        start = [max(full[i], 1e-9) if i in order[:size] else 0.0 for i in range(many)]
+        share, fit = fitted([x / sum(start) for x in start], op.AGAIN if size > 1 else 0)
+        value = fit - op.PENALTY * size * np.log(n + 1) / 2
+        if value > best[0]:
+            best = (value, share)
+    return best[1]
+
+
+def test_mixtures_match_plain_loops(spark):
+    langs, parts = ["de", "en", "fr"], ["de", "en", "fr", "de", "en"]
+    model = op.learn(documents(spark, [(k, prose(langs[k % 3], 60, k), langs[k % 3], "s") for k in range(90)]))
+    texts = [" ".join(prose(x, 5 + 9 * k, 500 + k) for x in parts[k % 5 : k % 5 + 1 + k % 3]) for k in range(24)]
+    texts += ["a", "", None, "xq zz", "12", "é"]
+    shares, _ = op.mixtures(texts, model)
+    for k, text in enumerate(texts):
+        assert np.allclose(shares[k], plain_mixture(text, model), atol=1e-9)
+        assert np.allclose(shares[k], op.mixtures([text], model)[0][0], atol=1e-12)
+    assert (shares > 0).sum(1).max() > 1
