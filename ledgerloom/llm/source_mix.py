@@ -11,11 +11,14 @@ every document of a source; the rest of the target takes documents in ascending
 one still fits, so a source misses its target by half a document at most. Whole documents only.
 
 No source is sorted in one task: keys fall into ``BUCKETS`` ranges, sums by source and range find the range in which a
-source's budget ends, and only that range's rows are put in order. The cut is then one row per source, and applies to any
-document by itself.
+source's budget ends, and only that range's distinct keys, with their counts, are put in order. The cut is then one row per
+source, and applies to any document by itself. Rows equal in source, key, id, size and text are told apart only if the
+budget ends among them: these rows are stored, numbered by partition, and as many are taken as fit. Windows without a
+partition key see a row per source: sources are names such as sites or feeds, thousands, not one per document.
 
 Edge cases: null or empty text: size 0, never over 0 taken. A null source is a source. A null doc_id counts as one id.
-Rows equal in source, key, id and size are taken alike. No rows give no rows. Other columns play no part.
+Ties go by id, size and text. Repeated rows are rows of their own. Texts of any length are read once, by expressions. No
+rows give no rows. Other columns play no part; they come through :func:`repeated` whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, joined
+from ledgerloom.llm.common import cut, joined, stored
 
 MULTIPLE, CAP, WEIGHTS, SEED, BUCKETS = 1.5, 2.0, (3, 1, 2), "mix", 4096
+#: The order of a source's documents.
+PLACE = ("_key", "_id", "_size", "_tie")
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that lower a document's quality weight.
 SYMBOLS = "!#$%&*|{}[]<>=+_~^@0123456789"
@@ -43,7 +48,7 @@ def weight(text: Column) -> Column:
 
 
 def keyed(documents: DataFrame, seed: str = SEED) -> DataFrame:
-    """The documents with ``_s``/``_none`` (source), ``_id``, ``_size``, ``_key`` and ``_bucket`` beside their own columns."""
+    """The documents with ``_s``/``_none`` (source), ``_id``, ``_size``, ``_key``, ``_tie`` and ``_bucket`` beside their own columns."""
     text = F.col("text").cast("string")
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13)
     uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
@@ -54,6 +59,7 @@ def keyed(documents: DataFrame, seed: str = SEED) -> DataFrame:
         .withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
         .withColumn("_size", words(text))
         .withColumn("_key", key)
+        .withColumn("_tie", F.xxhash64(text))
         .withColumn("_bucket", F.floor(F.col("_key") / (1 + F.col("_key")) * BUCKETS).cast("int"))
     )
 
@@ -85,11 +91,14 @@ def cuts(rows: DataFrame, **options) -> DataFrame:
     ended = joined(sums.withColumn("passed", passed), goal, source, "inner", n).where(F.col("passed") >= F.col("rest"))
     ended = ended.groupBy(*source).agg(F.min(F.struct("_bucket", F.col("passed") - F.col("n"), "rest")).alias("e"))
     ended = cut(ended.select(*source, F.col("e._bucket").alias("_bucket"), F.col("e.col2").alias("base"), F.col("e.rest").alias("rest")))
-    place = ["_key", "_id", "_size"]
-    inside = joined(rows.select(*source, "_bucket", *place), ended, [*source, "_bucket"], "inner", n)
-    through = F.sum("_size").over(W.partitionBy(*source).orderBy(*place).rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("base")
-    last = inside.withColumn("through", through).where(2 * F.col("through") - F.col("_size") <= 2 * F.col("rest"))
-    last = last.groupBy(*source).agg(F.max(F.struct(*place)).alias("_last"))
+    inside = joined(rows.select(*source, "_bucket", *PLACE), ended, [*source, "_bucket"], "inner", n)
+    inside = inside.groupBy(*source, "base", "rest", *PLACE).agg(F.count(F.lit(1)).alias("_many"))
+    upto = W.partitionBy(*source).orderBy(*PLACE).rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("base") - F.coalesce(F.sum(F.col("_size") * F.col("_many")).over(upto), F.lit(0))
+    fit = F.when(F.col("_size") > 0, F.floor(left / F.col("_size") + F.lit(0.5))).when(left >= 0, F.col("_many")).otherwise(F.lit(0))
+    last = inside.withColumn("_fit", F.least(fit.cast("long"), "_many")).where("_fit > 0")
+    last = last.groupBy(*source).agg(F.max(F.struct(*PLACE, "_fit", "_many")).alias("_last"))
+    last = last.select(*source, F.struct(*(F.col(f"_last.{x}").alias(x) for x in PLACE)).alias("_last"), F.col("_last._fit").alias("_fit"), F.col("_last._many").alias("_many"))
     return cut(goal.join(ended.select(*source, F.col("_bucket").alias("_end")), source, "left").join(last, source, "left").drop("rest"))
 
 
@@ -97,8 +106,22 @@ def _decided(rows: DataFrame, ends: DataFrame) -> DataFrame:
     """``rows`` (from :func:`keyed`) with ``_source_size, _target, _taken`` from their source's row of :func:`cuts`."""
     ends = ends.withColumnsRenamed({"source_size": "_source_size", "target": "_target"})
     out = joined(rows, ends, ["_s", "_none"], "left", ends.count())
-    chosen = (F.col("_bucket") < F.col("_end")) | ((F.col("_bucket") == F.col("_end")) & (F.struct("_key", "_id", "_size") <= F.col("_last")))
-    return out.withColumn("_taken", F.least(F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("long"), F.lit(2)) * F.col("_size"))
+    place, ending = F.struct(*PLACE), F.col("_bucket") == F.col("_end")
+    first = (F.col("_bucket") < F.col("_end")) | (ending & (place < F.col("_last")))
+    taken = lambda chosen: F.least(F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("long"), F.lit(2)) * F.col("_size")
+    if ends.where("_fit < _many").isEmpty():
+        return out.withColumn("_taken", taken(first | (ending & (place == F.col("_last")))))
+    among = F.coalesce(ending & (place == F.col("_last")) & (F.col("_fit") < F.col("_many")), F.lit(False))
+    whole = out.where(~among).withColumn("_taken", taken(first | (ending & (place == F.col("_last")))))
+    # the rows that a budget ends among: numbered within their partition, behind those of the partitions before
+    some = stored(out.where(among).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    parts = some.groupBy("_s", "_none", "_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("_s", "_none").orderBy("_part")) - F.col("n")
+    parts = cut(parts.select("_s", "_none", "_part", before.alias("_before")))
+    some = joined(some, parts, ["_s", "_none", "_part"], "inner", parts.count())
+    number = F.row_number().over(W.partitionBy("_s", "_none", "_part").orderBy("_at")) + F.col("_before")
+    some = some.withColumn("_number", number).withColumn("_taken", taken(F.col("_number") <= F.col("_fit")))
+    return whole.unionByName(some.drop("_at", "_part", "_before", "_number"))
 
 
 def mix(documents: DataFrame, seed: str = SEED, **options) -> DataFrame:
@@ -111,7 +134,7 @@ def mix(documents: DataFrame, seed: str = SEED, **options) -> DataFrame:
 def repeated(documents: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mix itself: every document, with its own columns, as often as it is taken; those that aren't go."""
     rows = keyed(documents.select("doc_id", "text", "source", F.struct("*").alias("_doc")), seed)
-    slim = cut(rows.select("_s", "_none", "_id", "_size", "_key", "_bucket"))
+    slim = cut(rows.select("_s", "_none", "_bucket", *PLACE))
     found = _decided(rows, cuts(slim, **options)).where("_taken > 0")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.expr("_taken div _size")))
     return found.select("_doc", copies).select("_doc.*")

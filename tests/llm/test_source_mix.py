@@ -42,7 +42,7 @@ def plain_mix(rows):
     found = []
     for source in sizes:
         epochs = math.floor(target[source] / sizes[source] + 1e-12) if sizes[source] else 0
-        rest, through, last = target[source] - epochs * sizes[source], 0, None
+        rest, through = target[source] - epochs * sizes[source], 0
         order = []
         for doc_id, text, _, s in rows:
             if s == source:
@@ -51,12 +51,9 @@ def plain_mix(rows):
                 key = -math.log((int(digits, 16) + 0.5) / 2**52) / (0.05 + 0.95 * plain * plain)
                 order.append(((key, -(2**63) if doc_id is None else doc_id, size_of(text)), doc_id))
         order.sort(key=lambda x: x[0])
-        for key, _ in order:
-            through += key[2]
-            if 2 * through - key[2] <= 2 * rest:
-                last = key
         for key, doc_id in order:
-            taken = min(epochs + (last is not None and key <= last), 2) * key[2]
+            through += key[2]
+            taken = min(epochs + (2 * through - key[2] <= 2 * rest), 2) * key[2]
             found.append((doc_id, key[2], sizes[source], round(target[source], 6), taken))
     return sorted(found, key=repr)
 
@@ -94,6 +91,36 @@ def test_targets_and_bounds(spark):
     assert by_id(again, "doc_id", "taken") == by_id(rows, "doc_id", "taken")
 
 
+@pytest.mark.parametrize("ids", [[7] * 1000, [None] * 1000, [None] * 500 + list(range(500))])
+def test_repeated_rows_are_taken_as_far_as_they_fit(spark, ids):
+    rows = [(i, prose("en", 8, 1), "en", "big") for i in ids] + [(9000 + k, prose("en", 9, k), "en", "other") for k in range(100)]
+    df = documents(spark, rows).repartition(5)
+    found = op.mix(df).collect()
+    assert by_id(found, "doc_id", "size", "taken") == sorted(((d, s, t) for d, s, _, _, t in plain_mix(rows)), key=repr)
+    for many in (8, 9):
+        own = [r for r in found if r["size"] == many]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= many
+    whole = op.repeated(df)
+    assert whole.columns == df.columns
+    assert whole.count() == sum(r["taken"] // r["size"] for r in found)
+
+
+def test_sql_of_repeated_rows(spark):
+    import duckdb
+
+    rows = [(k // 40, prose("en", 8 + k // 400, k // 400), "en", "ab"[k % 2]) for k in range(2000)]
+    table = documents(spark, rows).select("doc_id", "text", "source")
+    found = by_id(op.mix(table).collect(), "doc_id", "size", "source_size", "target", "taken")
+    con = duckdb.connect()
+    con.register("documents", table.toArrow())
+    assert found == sorted((tuple(r) for r in con.sql(op.ORACLE_SQL).fetchall()), key=repr)
+
+
+def test_a_long_text_of_one_line(spark):
+    found = op.mix(documents(spark, [(1, "word " * 400_000, "en", "a"), (2, "x" * 1_000_000, "en", "b"), (3, "one two", "en", "b")])).collect()
+    assert {r["doc_id"]: r["size"] for r in found} == {1: 400_000, 2: 1, 3: 2}
+
+
 def test_heavier_documents_come_first(spark):
     rows = [(k, "word " * 20 if k % 2 else "#### ==== " * 10, "en", "big") for k in range(2000)] + [(5000, "w " * 40000, "en", "other")]
     found = op.mix(documents(spark, rows), weights=(1, 3, 2), multiple=1.0).collect()
