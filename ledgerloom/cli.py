@@ -19,7 +19,7 @@ from ledgerloom.operators.categorise import AUDIT_CAP, audit, capped, categorise
 from ledgerloom.operators.impact import impact
 from ledgerloom.operators.normalise import Locale, NormaliseError, normalise
 from ledgerloom.operators.reconcile import IdentityError, ReconcileError, reconcile
-from ledgerloom.operators.verify import verify
+from ledgerloom.operators.verify import as_read, verify
 from ledgerloom.plans.packs import pack
 from ledgerloom.plans.rules import Rule, RuleError, inert, load_rules, text_digest
 from ledgerloom.sources import reports
@@ -61,13 +61,17 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--verify", choices=("fast", "full"))
     one.add_argument("--report-dir")
     one.add_argument("--html", action="store_true")
-
-    two = commands.add_parser("reconcile", parents=[reading, ruled])
+    one.add_argument("--reconcile", metavar="EXTERNAL", help="also compare with a table of another system")
+    compared = argparse.ArgumentParser(add_help=False)
+    compared.add_argument("--fields", default="category")
+    compared.add_argument("--key")
+    compared.add_argument("--identity-fields")
+    compared.add_argument("--external-date-format")
+    for action in compared._actions:
+        one._add_action(action)
+
+    two = commands.add_parser("reconcile", parents=[reading, ruled, compared])
     two.add_argument("--external", required=True)
-    two.add_argument("--fields", default="category")
-    two.add_argument("--key")
-    two.add_argument("--identity-fields")
-    two.add_argument("--external-date-format")
     two.add_argument("--report-dir", required=True)
     two.add_argument("--html", action="store_true")
 
@@ -85,6 +89,12 @@ def parser() -> argparse.ArgumentParser:
     four.add_argument("--top-k", type=int)
     four.add_argument("--include-excluded", action="store_true")
 
+    six = commands.add_parser("verify", parents=[reading])
+    six.add_argument("--output", required=True, help="what was made of the input, compared row by row")
+    six.add_argument("--mode", choices=("fast", "full"), default="fast")
+    six.add_argument("--report-dir")
+    six.add_argument("--html", action="store_true")
+
     five = commands.add_parser("suggest")
     five.add_argument("--candidates", required=True)
     five.add_argument("--output", required=True)
@@ -102,14 +112,16 @@ def check(args: argparse.Namespace) -> None:
             raise UsageError(f"--{name} is one character")
     if getattr(args, "thousands", None) and args.thousands == args.decimal:
         raise UsageError("--decimal and --thousands are not the same")
-    if args.command == "reconcile":
+    if args.command == "categorise" and args.reconcile and not args.report_dir:
+        raise UsageError("--reconcile needs --report-dir")
+    if args.command in ("reconcile", "categorise"):
         if args.key and args.identity_fields:
             raise UsageError("--key replaces positions and --identity-fields guards them; give one of them")
         if args.external_date_format and not (args.key or args.identity_fields):
             raise UsageError("--external-date-format needs --key or --identity-fields")
         if not split(args.fields):
             raise UsageError("--fields names at least one field")
-    if args.command == "categorise" and args.html and not args.report_dir:
+    if args.command in ("categorise", "verify") and args.html and not args.report_dir:
         raise UsageError("--html needs --report-dir")
     if getattr(args, "audit_max", 1) < 1:
         raise UsageError("--audit-max is 1 or more")
@@ -139,24 +151,44 @@ def run_categorise(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.audit and args.audit_mode != "none":
         entries, more = capped(audit(ledger, rules, args.audit_mode), args.audit_max)
         reports.audit_json(entries, more, args.audit_max, args.audit)
+    good = True  # both checks run and report, whichever fails
     if args.verify:
         found = verify(ledger, out, args.verify)
         if args.report_dir:
             reports.verify_report(found, args.report_dir, args.html)
-        return OK if found.success else REVIEW
-    return OK
+        good = found.success
+    if args.reconcile:
+        good = compare(spark, args, categorise(ledger, rules, attribution=True), args.reconcile) and good
+    return OK if good else REVIEW
 
 
-def run_reconcile(spark: SparkSession, args: argparse.Namespace) -> int:
-    left = categorise(read(spark, args), rules_of(args), attribution=True, strict=args.strict_schema)
-    right = with_row_ids(read_csv(spark, args.external, CsvOptions(missing=False, ragged="error")))
-    right = right.na.fill("")
+def run_verify(spark: SparkSession, args: argparse.Namespace) -> int:
+    """File against file: rows in the same place, the input's texts read as the ledger's are."""
+    def texts(path: str) -> DataFrame:
+        if path.rstrip("/").endswith(".parquet"):
+            return with_row_ids(spark.read.parquet(path).drop("_row_id"))
+        return read_csv(spark, path, CsvOptions(missing=False, ragged="keep"), order=True)
+
+    before = as_read(texts(args.input), args.decimal, args.thousands, args.dayfirst, args.date_format)
+    found = verify(before, as_read(texts(args.output)), args.mode)
+    if args.report_dir:
+        reports.verify_report(found, args.report_dir, args.html)
+    return OK if found.success else REVIEW
+
+
+def compare(spark: SparkSession, args: argparse.Namespace, left: DataFrame, external: str) -> bool:
+    right = with_row_ids(read_csv(spark, external, CsvOptions(missing=False, ragged="error"))).na.fill("")
     try:
         found = reconcile(left, right, split(args.fields), split(args.key) or None, split(args.identity_fields) or None, args.external_date_format)
     except IdentityError as error:
         reports.identity_report(error, args.report_dir)
         raise
-    return OK if reports.reconcile_report(found, args.report_dir, args.html)["success"] else REVIEW
+    return bool(reports.reconcile_report(found, args.report_dir, args.html)["success"])
+
+
+def run_reconcile(spark: SparkSession, args: argparse.Namespace) -> int:
+    left = categorise(read(spark, args), rules_of(args), attribution=True, strict=args.strict_schema)
+    return OK if compare(spark, args, left, args.external) else REVIEW
 
 
 def run_impact(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -187,7 +219,7 @@ def run_suggest(spark: SparkSession | None, args: argparse.Namespace) -> int:
     return OK
 
 
-RUNS = {"categorise": run_categorise, "reconcile": run_reconcile, "impact": run_impact, "discover": run_discover, "suggest": run_suggest}
+RUNS = {"categorise": run_categorise, "verify": run_verify, "reconcile": run_reconcile, "impact": run_impact, "discover": run_discover, "suggest": run_suggest}
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:

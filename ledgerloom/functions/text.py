@@ -14,6 +14,7 @@ from ledgerloom.shipping import ship
 #: Control and format characters that text fields lose; currency signs and hard spaces that amounts lose.
 CONTROLS = r"[\x00-\x1F\x7F-\x9F\u200B-\u200D\u2028\u2029\uFEFF]"
 CURRENCY = r"[£€$¥₹\u00A0\u202F]"
+SIGNS = "£€$¥₹\u00A0\u202F"
 #: Endings that mark credits and debits, and leads that a spreadsheet would take for a formula.
 CREDIT, DEBIT = r"(?:CR|CRED|CREDIT)\.?\s*$", r"(?:DR|DEB|DEBIT)\.?\s*$"
 DANGER = r"^ *[=+\-@\t]"
@@ -53,21 +54,35 @@ def to_number(text: Column, decimal: str = ".", thousands: str | None = None) ->
     negative, a credit positive. Without ``thousands`` a text such as 1,234.56 is not a number.
     """
     raw = text.cast("string")
-    s = F.regexp_replace(F.translate(strip(raw), "\u2212", "-"), r"(?s)^(.*)-$", "-$1")
-    credit, debit = F.upper(s).rlike(CREDIT), F.upper(s).rlike(DEBIT)
-    s = F.regexp_replace(F.regexp_replace(s, rf"(?i)\s*{CREDIT}", ""), rf"(?i)\s*{DEBIT}", "")
-    s = F.regexp_replace(s, r"(?s)^\((.*)\)$", "-$1")
-    if thousands:
-        s = F.replace(s, F.lit(thousands), F.lit(""))
-    s = F.regexp_replace(s, CURRENCY, "")
-    if decimal and decimal != ".":
-        s = F.replace(s, F.lit(decimal), F.lit("."))
-    s = F.regexp_replace(strip(s), r"^-\s+", "-")
-    value = F.regexp_extract(s, rf"(?i){NUMERIC}|{INFINITE}", 0).try_cast("double")
-    value = F.when(credit, F.abs(value)).when(debit, -F.abs(value)).otherwise(value)
-    if decimal == "." and thousands != ".":  # most amounts are plain numbers, which the steps above leave as they are
-        return F.when(raw.rlike(NUMERIC), raw.try_cast("double")).otherwise(value)
-    return value
+
+    def written(s: Column) -> Column:
+        """The amount of a text that has more than signs, thousands and currencies about it."""
+        n = F.regexp_replace(F.regexp_replace(s, rf"(?i)\s*{CREDIT}", ""), rf"(?i)\s*{DEBIT}", "")
+        n = F.regexp_replace(n, r"(?s)^\((.*)\)$", "-$1")
+        if thousands:
+            n = F.replace(n, F.lit(thousands), F.lit(""))
+        n = F.regexp_replace(n, CURRENCY, "")
+        if decimal and decimal != ".":
+            n = F.replace(n, F.lit(decimal), F.lit("."))
+        n = F.regexp_replace(strip(n), r"^-\s+", "-")
+        value = F.regexp_extract(n, rf"(?i){NUMERIC}|{INFINITE}", 0).try_cast("double")
+        marked = lambda v: F.when(F.upper(s).rlike(CREDIT), F.abs(v)).when(F.upper(s).rlike(DEBIT), -F.abs(v)).otherwise(v)
+        return bound(value, marked)
+
+    slow = bound(F.regexp_replace(F.translate(strip(raw), "\u2212", "-"), r"(?s)^(.*)-$", "-$1"), written)
+    decimal = decimal or "."
+    if not all(c in ".,;:'_ \u00A0\u202F" for c in decimal + (thousands or "")) or decimal == thousands:
+        return slow
+    # most amounts are plain numbers once these characters are gone, whatever the order of the steps above
+    gone = "".join(c for c in f"{SIGNS}{thousands or ''}" if c != decimal)
+    swap = "\u2212" + (decimal if decimal != "." else "")
+    simple = F.trim(F.translate(raw, swap + gone, "-" + ("." if decimal != "." else "")))
+    return F.when(simple.rlike(NUMERIC), simple.try_cast("double")).otherwise(slow)
+
+
+def bound(value: Column, then) -> Column:
+    """``then(value)`` with the value made once, however often it is used; keeps generated code small."""
+    return F.transform(F.array(value), then)[0]
 
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -163,19 +178,17 @@ def folded(text: str) -> str:
 def with_fingerprint(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds a counterparty's fingerprint: accents folded, upper case, only letters, digits and single spaces.
 
-    Only rows with other than ASCII characters pass through Python, in Arrow batches.
+    One column over one scan: names beyond ASCII are folded in Arrow batches, for the others nothing is sent.
     """
     ship(df.sparkSession)
     fold = F.pandas_udf(_fold, "string")
     source = F.regexp_replace(present(F.col(column)), CONTROLS, "")
-    ascii_only = present(F.col(column)).rlike(r"^\p{ASCII}*$")
-    plain = df.where(ascii_only).withColumn(name, _plain_fingerprint(F.col(column)))
-    other = df.where(~ascii_only).withColumn(name, _plain_fingerprint(fold(source)))
-    return plain.unionByName(other)
+    other = F.when(F.length(source) != F.octet_length(source), source)
+    return df.withColumn(name, _plain_fingerprint(F.coalesce(fold(other), F.col(column))))
 
 
 def _fold(series: pd.Series) -> pd.Series:
-    return series.map(folded)
+    return series.map(folded, na_action="ignore")
 
 
 def all_of(columns: Sequence[Column]) -> Column:

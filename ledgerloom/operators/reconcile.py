@@ -155,18 +155,38 @@ class Reconciliation:
     orphans_right: DataFrame | None
     alignment: str
     dates: DateConvention
+    fields: tuple[str, ...]
+
+    def counts(self) -> DataFrame:
+        """One row: rows compared, mismatches, orphans of either side, and the rate of matches in percent, 100 of none."""
+        differ = F.lit(False)
+        for f in self.fields:
+            differ = differ | (F.col(f"l_{f}") != F.col(f"r_{f}"))
+        parts = [self.compared.agg(F.count(F.lit(1)).alias("rows_compared"), F.count_if(differ).alias("mismatches"))]
+        for df, name in ((self.orphans_left, "orphans_left"), (self.orphans_right, "orphans_right")):
+            parts.append(df.agg(F.count(F.lit(1)).alias(name)) if df is not None else self.compared.limit(0).agg(F.count(F.lit(1)).alias(name)))
+        rate = F.when(F.col("rows_compared") > 0, F.round(100.0 * (F.col("rows_compared") - F.col("mismatches")) / F.col("rows_compared"), 2)).otherwise(F.lit(100.0))
+        one, two, three = parts  # a row each
+        return one.crossJoin(two).crossJoin(three).withColumn("match_rate", rate)
 
     def summary(self) -> dict[str, object]:
-        n, wrong = self.compared.count(), self.mismatches.count()
-        lost = [x.count() if x is not None else 0 for x in (self.orphans_left, self.orphans_right)]
-        rate = round(100 * (n - wrong) / n, 2) if n else 100.0
-        return {"success": not (wrong or any(lost)), "rows_compared": n, "matches": n - wrong, "mismatches": wrong, "match_rate": rate, "orphans_left": lost[0], "orphans_right": lost[1], "alignment_mode": self.alignment, "date_convention": self.dates.__dict__}
+        found = self.counts().first()
+        n, wrong = found.rows_compared, found.mismatches
+        lost = [found.orphans_left, found.orphans_right]
+        return {"success": not (wrong or any(lost)), "rows_compared": n, "matches": n - wrong, "mismatches": wrong, "match_rate": found.match_rate, "orphans_left": lost[0], "orphans_right": lost[1], "alignment_mode": self.alignment, "date_convention": self.dates.__dict__}
 
 
-def aligned(left: DataFrame, right: DataFrame, keys: Sequence[str], dates: DateConvention | None = None, fields: Sequence[str] = ("category",), row: str = "_row_id") -> DataFrame:
-    """The full outer join of both sides on their canonical keys; a side that has no row there has a null ``l_row`` or ``r_row``."""
-    a, b = _sides(_keyed(left, keys), _keyed(right, keys, dates), _names(keys), fields, row)
-    return a.join(b, _names(keys), "full_outer")
+def check_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], dates: DateConvention | None = None) -> None:
+    """An error if a key is on several rows of a side; one pass over the key columns of both."""
+    names = _names(keys)
+    side = lambda df, how, mark: _keyed(df, keys, how).select(*names, F.lit(mark).alias("_right"))
+    both = side(left, None, 0).unionByName(side(right, dates, 1))
+    counted = both.groupBy(*names).agg(F.sum(1 - F.col("_right")).alias("l"), F.sum("_right").alias("r"))
+    twice = counted.where("l > 1 OR r > 1").limit(EXAMPLES).collect()
+    for name, mark in (("ledger", "l"), ("external", "r")):
+        if found := [x for x in twice if x[mark] > 1]:
+            shown = "; ".join(f"{tuple(x[k] for k in names)!r} on {x[mark]} rows" for x in found)
+            raise ReconcileError(f"keys of the {name} side are not unique: {shown}")
 
 
 def reconcile(
@@ -194,14 +214,12 @@ def reconcile(
     if "date" in {f.lower() for f in (keys or identity or ())} and isinstance(right.schema[next(c for c in right.columns if c.lower() == "date")].dataType, T.StringType):
         dates = check_date_format(right, date_format, key=row) if date_format else infer_dates(right, key=row)
     if keys:
-        for df, side, how in ((left, "ledger", None), (right, "external", dates)):
-            twice = duplicate_keys(df, keys, how).limit(EXAMPLES).collect()
-            if twice:
-                shown = "; ".join(f"{tuple(r[f] for f in keys)!r} on {r['n']} rows" for r in twice)
-                raise ReconcileError(f"keys of the {side} side are not unique: {shown}")
-        both = aligned(left, right, keys, dates, fields, row)
-        pairs = both.where("l_row IS NOT NULL AND r_row IS NOT NULL")
-        return Reconciliation(pairs, _mismatches(pairs, fields), _orphans(both.where("r_row IS NULL"), "l"), _orphans(both.where("l_row IS NULL"), "r"), "key:" + ",".join(keys), dates)
+        check_unique(left, right, keys, dates)
+        names = _names(keys)
+        a, b = _sides(_keyed(left, keys), _keyed(right, keys, dates), names, fields, row)
+        pairs = a.join(b, names)
+        only = lambda one, other, mark: _orphans(one.join(other.select(*names), names, "left_anti"), mark)
+        return Reconciliation(pairs, _mismatches(pairs, fields), only(a, b, "l"), only(b, a, "r"), "key:" + ",".join(keys), dates, tuple(fields))
     n, m = left.count(), right.count()
     if n != m:
         raise ReconcileError(f"the sides have {n} and {m} rows; rows can't be compared by position")
@@ -211,8 +229,9 @@ def reconcile(
         differ = [F.when(~F.col(f"_key_{k}_l").eqNullSafe(F.col(f"_key_{k}_r")), F.lit(f)) for k, f in enumerate(identity)]
         failures = a.join(b, row).where(F.coalesce(*differ).isNotNull())
         failures = failures.select((F.col(row) + 1).alias("row_number"), F.concat_ws(",", *differ).alias("differing_identity_fields"), *(c for k, f in enumerate(identity) for c in (F.col(f"_raw_{k}_l").alias(f"ledger_{f}"), F.col(f"_raw_{k}_r").alias(f"external_{f}"))))
-        if wrong := failures.count():
+        if not failures.isEmpty():
+            wrong = failures.count()
             raise IdentityError(f"{wrong} of {n} rows are not the same transaction on both sides; compare by key", failures)
     a, b = _sides(left, right, [], fields, row)
     pairs = a.join(b, F.col("l_row") == F.col("r_row"))
-    return Reconciliation(pairs, _mismatches(pairs, fields), None, None, "positional", dates)
+    return Reconciliation(pairs, _mismatches(pairs, fields), None, None, "positional", dates, tuple(fields))

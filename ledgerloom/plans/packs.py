@@ -1,81 +1,65 @@
-"""Starter rules by name. What they match and set is stated as text, a line per rule; the rules are made from that."""
+"""Starter rules by name, to copy from and to try things with. A line per rule: title, condition, category, flags."""
 
 from __future__ import annotations
 
 from ledgerloom.plans.rules import Rule, RuleError, parse_action, parse_condition
 
-# Name | condition | flag, by pack. All but those of compliance, and the last example, also set category to Review.
 RETAIL = """
-Retail: TESCO | counterparty ~ "*TESCO*" | Retail
-Retail: SAINSBURY | counterparty ~ "*SAINSBURY*" | Retail
-Retail: LIDL | counterparty ~ "*LIDL*" | Retail
-Retail: ALDI | counterparty ~ "*ALDI*" | Retail
-Retail: ASDA | counterparty ~ "*ASDA*" | Retail
-Retail: MARKS & SPENCER | counterparty ~ "*MARKS*SPENCER*" | Retail
-Retail: M&S | counterparty ~ "*M&S*" | Retail
-Retail: CO-OP (hyphen) | counterparty ~ "*CO-OP*" | Retail
-Retail: CO-OP (space) | counterparty ~ "*CO OP*" | Retail
-Retail: ICELAND | counterparty ~ "*ICELAND*" | Retail
+Weekly shop at Waitrose | counterparty ~ "WAITROSE*" | Groceries | food
+Weekly shop at Carrefour | counterparty ~ "*CARREFOUR*" | Groceries | food
+Weekly shop at Rewe | counterparty ~ "REWE *" | Groceries | food
+Bulk buy at Costco | counterparty ~ "COSTCO WHSE*" | Groceries | food bulk
+Flat packs | counterparty ~ "IKEA*" | Household | furniture
+Tools and paint | counterparty ~ "*SCREWFIX*" | Household | repairs
+Sports kit | counterparty ~ "DECATHLON*" | Leisure | sport
 """
 TRANSPORT = """
-Transport: UBER | counterparty ~ "*UBER*" | Transport
-Transport: TRAINLINE | counterparty ~ "*TRAINLINE*" | Transport
-Transport: TFL | counterparty ~ "TFL*" | Transport
-Transport: SHELL | counterparty ~ "*SHELL*" | Fuel
-Transport: BP | counterparty ~ "BP*" | Fuel
-Transport: NATIONAL RAIL | counterparty ~ "*NATIONAL*RAIL*" | Transport
+Rides by Lyft | counterparty ~ "LYFT *" | Getting about | ride
+Rides by Bolt | counterparty ~ "BOLT.EU*" | Getting about | ride
+German trains | counterparty ~ "DB VERTRIEB*" | Getting about | train
+French trains | counterparty ~ "SNCF*" | Getting about | train
+Petrol at Total | counterparty ~ "TOTALENERGIES*" | Car | petrol
+Charging posts | counterparty ~ "*CHARGEPOINT*" | Car | electricity
+Car parks | memo ~ "*parking*" | Car | parking
 """
 SUBSCRIPTIONS = """
-Subs: SPOTIFY | counterparty ~ "*SPOTIFY*" | Subscription
-Subs: NETFLIX | counterparty ~ "*NETFLIX*" | Subscription
-Subs: AMAZON PRIME | counterparty ~ "*AMAZON*PRIME*" | Subscription
-Subs: YOUTUBE PREMIUM | counterparty ~ "*YOUTUBE*PREMIUM*" | Subscription
-Subs: APPLE.COM/BILL (Full) | counterparty ~ "*APPLE.COM/BILL*" | Subscription
-Subs: APPLE BILL (Generic) | counterparty ~ "*APPLE*BILL*" | Subscription
-Subs: MICROSOFT | counterparty ~ "*MICROSOFT*" | Subscription
-Subs: ADOBE | counterparty ~ "*ADOBE*" | Subscription
+Music by Deezer | counterparty ~ "DEEZER*" | Recurring | music
+Films by Mubi | counterparty ~ "*MUBI*" | Recurring | film
+Code hosting | counterparty ~ "GITHUB*" | Recurring | software
+Notes app | counterparty ~ "EVERNOTE*" | Recurring | software
+A paper a day | memo ~ "*newspaper*monthly*" | Recurring | press
 """
 TRAVEL = """
-Travel: AIRBNB | counterparty ~ "*AIRBNB*" | Travel
-Travel: BOOKING.COM | counterparty ~ "*BOOKING*COM*" | Travel
-Travel: EASYJET | counterparty ~ "*EASYJET*" | Travel
-Travel: RYANAIR | counterparty ~ "*RYANAIR*" | Travel
-Travel: BRITISH AIRWAYS (Full) | counterparty ~ "*BRITISH*AIRWAYS*" | Travel
-Travel: BA (Abbr) | counterparty ~ "* BA *" | Travel
-Travel: HOTELS.COM | counterparty ~ "*HOTELS*COM*" | Travel
-Travel: EXPEDIA | counterparty ~ "*EXPEDIA*" | Travel
+Flights with KLM | counterparty ~ "KLM *" | Trips | flight
+Flights with Lufthansa | counterparty ~ "LUFTHANSA*" | Trips | flight
+Hostel beds | counterparty ~ "*HOSTELWORLD*" | Trips | bed
+Rooms by Accor | counterparty ~ "ACCOR*" | Trips | bed
+Hired cars | counterparty ~ "SIXT *" | Trips | car
 """
 FINANCIAL = """
-Financial: BANK CHARGE (Counterparty) | counterparty ~ "*BANK*CHARGE*" | BankFee
-Financial: BANK CHARGE (Memo) | memo ~ "*BANK*CHARGE*" | BankFee
-Financial: CHARGE (Memo) | memo ~ "*BANK*CHARGE*" | BankFee
-Financial: INTEREST (Counterparty) | counterparty ~ "*INTEREST*" | Interest
-Financial: INTEREST (Memo) | memo ~ "*INTEREST*" | Interest
-Financial: FX FEE (Counterparty) | counterparty ~ "*FX*FEE*" | FX
-Financial: FX (Memo) | memo ~ "*FX*" | FX
-Financial: CASH WITHDRAWAL | counterparty ~ "*CASH*WITHDRAWAL*" | Cash
-Financial: ATM | counterparty ~ "ATM*" | Cash
-Financial: OVERDRAFT FEE | counterparty ~ "*OVERDRAFT*" | BankFee
+Price of the account | memo ~ "*monthly account price*" | Cost of money | account
+Price of a late payment | memo ~ "*late payment*" | Cost of money | late
+Earned on savings | memo ~ "*savings*earned*" | Income | savings
+Paid out by shares | memo ~ "*dividend*" | Income | shares
+Money changed | counterparty ~ "WISE PAYMENTS*" | Cost of money | exchange
 """
 COMPLIANCE = """
-Flag: Large Transaction (Debit >= 500) | amount in -1000000..-500 | LargeTxn
-Flag: Large Transaction (Credit >= 500) | amount in 500..1000000 | LargeTxn
-Flag: Potential Foreign/FX (Counterparty) | counterparty ~ "*NON*STERLING*" | FX
-Flag: Potential Foreign/FX (Memo) | memo ~ "*FX*" | FX
-Flag: Possible Duplicate Marker | memo ~ "*DUPLICATE*" | PotentialDuplicate
+Out of the ordinary, paid | amount in -100000000..-25000 | | look-high
+Out of the ordinary, received | amount in 25000..100000000 | | look-high
+Round thousands | amount ~ "*000.0" | | look-round
+Paid in coins of the net | counterparty ~ "*COINBASE*" | | look-crypto
 """
 SANITY = """
-Sanity: Empty Counterparty | counterparty == "" | EmptyCounterparty
-Sanity: Zero Amount | amount in 0..0 | ZeroAmount
-Sanity: Memo Mentions REFUND but No Category | memo ~ "*REFUND*" | RefundCheck
+Nobody named | counterparty ~ "" | | check-name
+Nothing moved | amount == 0 | | check-amount
+Named as a test | memo ~ "*lorem ipsum*" | | check-memo
 """
 EXAMPLES = """
-Example: Equality | counterparty == "TESCO STORES 1234" | Example
-Example: Wildcard Prefix | counterparty ~ "TESCO*" | Example
-Example: Wildcard Contains | counterparty ~ "*COFFEE*" | Example
-Example: Wildcard Substring | counterparty ~ "*AMAZON*" | Example
-Example: Amount Range | amount in -50..-5 | Example
-Example: Flags Append-Only | counterparty ~ "*DEMO*" | TagA TagB
+One name, in any case | counterparty == "corner bakery" | Shown by example | example
+How a name begins | counterparty ~ "CORNER*" | Shown by example | example
+Words in turn | counterparty ~ "*HARBOUR*FERRY*" | Shown by example | example
+A span of amounts | amount in -9.99..-1 | Shown by example | example
+Two flags and no category | memo ~ "*two flags*" | | first second
 """
 PACKS = {
     "retail": RETAIL,
@@ -88,7 +72,6 @@ PACKS = {
     "sanity": SANITY,
     "examples": EXAMPLES,
 }
-FLAGS_ONLY = (*COMPLIANCE.strip().splitlines(), EXAMPLES.strip().splitlines()[-1])
 
 
 def pack(name: str) -> list[Rule]:
@@ -97,9 +80,8 @@ def pack(name: str) -> list[Rule]:
         raise RuleError(f"no pack named {name!r}; there are {', '.join(PACKS)}")
     rules = []
     for line in PACKS[name].strip().splitlines():
-        title, condition, flags = (part.strip() for part in line.split(" | "))
-        actions = [] if line in FLAGS_ONLY else ['category = "Review"']
-        actions += [f'flags += "{flag}"' for flag in flags.split()]
+        title, condition, category, flags = (part.strip() for part in line.split("|"))
+        actions = [f'category = "{category}"'] * bool(category) + [f'flags += "{flag}"' for flag in flags.split()]
         rules.append(Rule(title, (parse_condition(condition),), tuple(map(parse_action, actions))))
     return rules
 

@@ -12,7 +12,7 @@ Bodies and answers are JSON; tables travel as CSV text inside them. What comes i
     POST /impact     {"input", "rules", "packs", "candidate"}
 
 200: done, with ``exit_code`` 3 where there is something to review; 400 and 422: a request or rows that aren't valid; 401: no
-or another key; 413: too large.
+or another key; 413: too large; 504: stopped after ``--seconds``, its Spark jobs with it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import json
 import os
 import shutil
 import tempfile
+import threading
+import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 
@@ -34,7 +36,7 @@ from ledgerloom.operators.discover import suggest
 from ledgerloom.plans.packs import PACKS, as_text, pack
 from ledgerloom.plans.rules import RuleError, inert, parse_rules
 
-LIMIT = 100 << 20
+LIMIT, SECONDS = 100 << 20, 300
 READING = ("encoding", "delimiter", "decimal", "thousands", "date_format", "fail_threshold")
 
 
@@ -51,8 +53,8 @@ def csv_rows(folder: Path) -> list[dict]:
 class Service:
     """The endpoints as functions of a request's body."""
 
-    def __init__(self, spark: SparkSession | None, work: str):
-        self.spark, self.work = spark, Path(work)
+    def __init__(self, spark: SparkSession | None, work: str, seconds: float = SECONDS):
+        self.spark, self.work, self.seconds = spark, Path(work), seconds
 
     def get(self, path: str) -> dict:
         if path == "/":
@@ -92,7 +94,24 @@ class Service:
         return ["--input", str(folder / "input"), *options]
 
     def _run(self, args: list[str]) -> int:
-        code = cli.main(args, self.spark)
+        late, group, context = threading.Event(), uuid.uuid4().hex, self.spark.sparkContext
+
+        def stop() -> None:
+            late.set()
+            context._jsc.sc().cancelJobGroupAndFutureJobs(group)
+
+        timer = threading.Timer(self.seconds, stop)
+        context.setJobGroup(group, args[0], interruptOnCancel=True)
+        timer.start()
+        try:
+            code = cli.main(args, self.spark)
+        except Exception:
+            if late.is_set():
+                raise Problem(504, f"stopped after {self.seconds} s") from None
+            raise
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
         if code in (cli.FAILED, cli.INVALID):
             raise Problem(422, "the input can't be used with these options")
         return code
@@ -180,9 +199,10 @@ def main() -> None:
     options.add_argument("--work", required=True)
     options.add_argument("--host", default="127.0.0.1")
     options.add_argument("--port", type=int, default=8000)
+    options.add_argument("--seconds", type=float, default=SECONDS, help="how long a request may take")
     args = options.parse_args()
     spark = SparkSession.builder.appName("ledgerloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    server(Service(spark, args.work), args.host, args.port, os.environ.get("LEDGER_API_KEY")).serve_forever()
+    server(Service(spark, args.work, args.seconds), args.host, args.port, os.environ.get("LEDGER_API_KEY")).serve_forever()
 
 
 if __name__ == "__main__":

@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.text import guarded, missing_to_null
 
+#: Encodings in order of trial; sampled bytes and lines; agreement and preference of delimiters.
 ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
-SAMPLE, LINES, STRICT_LINES, AGREE = 65536, 50, 200, 0.9
+SAMPLE, LINES, STRICT_LINES, AGREE, PREFER = 65536, 50, 200, 0.9, 1.2
 DELIMITERS = (";", ",", "\t", "|")
 CORRUPT = "_corrupt_record"
 
@@ -64,7 +65,7 @@ def pick_delimiter(text: str) -> str | None:
     """The delimiter of a sample by counts; semicolons win over commas where they are 1.2 times as many."""
     lines = [x for x in text.splitlines() if x.strip()][:LINES]
     n = {d: sum(x.count(d) for x in lines) for d in DELIMITERS}
-    if n[";"] and n[";"] >= int(n[","] * 1.2):
+    if n[";"] and n[";"] >= int(n[","] * PREFER):
         return ";"
     for one in ("\t", "|"):
         if n[one] > max(n[d] for d in DELIMITERS if d != one):
@@ -88,29 +89,43 @@ def check_headers(names: Sequence[str]) -> list[str]:
     return found + [f"column name {x!r} is repeated" for x, n in Counter(low).items() if n > 1 and x]
 
 
+def has_line_ends(spark: SparkSession, path: str, sample: bytes) -> bool:
+    """Whether a quoted field holds a line end: then some line has an odd number of quotes. Longer files are looked at by many tasks."""
+    odd = lambda text: any(x.count(b'"') % 2 for x in text.splitlines())
+    if len(sample) < SAMPLE:
+        names = [x for x in spark.read.format("binaryFile").load(path).select("path", "length").limit(2).collect()]
+        if len(names) == 1 or odd(sample):
+            return odd(sample)
+    elif odd(sample[: sample.rfind(b"\n") + 1]):
+        return True
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 @dataclass(frozen=True)
 class CsvOptions:
     delimiter: str | None = None
     encoding: str | None = None
     strict: bool = False
     missing: bool = True  # texts such as NA and null are missing values
-    ragged: str = "drop"  # rows with another number of fields: "drop" or "error"
-    multiline: bool = True  # quoted fields may hold line ends; without, large files are read by many tasks
+    ragged: str = "drop"  # rows with another number of fields: "drop", "error", or "keep" what fits the header
+    multiline: bool | None = None  # whether quoted fields hold line ends, so a file is one task; None: looked for
 
 
 def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(), order: bool = False) -> DataFrame:
     """The file, or folder of files, with all columns as text; ``order`` adds ``_row_id``, dense, in the order of the file.
 
-    A row with too many or too few fields is dropped, or an error that says how many there are.
+    A row with too many or too few fields is dropped, or an error that shows the first one.
     """
     sample = head(spark, path)
+    multiline = has_line_ends(spark, path, sample) if options.multiline is None else options.multiline
     encoding = options.encoding or pick_encoding(sample)
     text = sample.decode(encoding, errors="ignore")
     delimiter = options.delimiter or pick_delimiter(text) or ","
     if options.strict:
         check_delimiter(text, delimiter)
     java = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
-    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", java).option("quote", '"').option("escape", '"').option("multiLine", options.multiline)
+    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", java).option("quote", '"').option("escape", '"').option("multiLine", multiline)
     names = reader.option("inferSchema", False).csv(path).columns
     names = [x.removeprefix("\uFEFF") for x in names]
     if (faults := check_headers(names)) and options.strict:
@@ -123,7 +138,7 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(),
         found = rows.select(CORRUPT, *names[:1]).where(bad).limit(1).collect()
         if found:
             raise SourceError(f"{path}: a row has another number of fields than the header: {found[0][0][:200]!r}")
-    rows = rows.where(~bad).drop(CORRUPT)
+    rows = (rows if options.ragged == "keep" else rows.where(~bad)).drop(CORRUPT)
     if options.missing:
         rows = rows.select(*(missing_to_null(F.col(f"`{x}`")).alias(x) for x in names))
     return with_row_ids(rows) if order else rows
@@ -132,8 +147,12 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(),
 def with_row_ids(df: DataFrame, name: str = "_row_id") -> DataFrame:
     """A dense row number from 0 in the order of the rows, as ``name``; no single task sees all rows.
 
-    Rows are numbered in their partition; offsets come from a table of one row per partition.
+    Rows are numbered in their partition; offsets come from a table of one row per partition. Both come from a scan each, so
+    the number of splits of files is fixed for the session, whatever executors come and go.
     """
+    spark, splits = df.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(splits, None) is None:
+        spark.conf.set(splits, str(spark.sparkContext.defaultParallelism))
     own = df.withColumn("_place", F.monotonically_increasing_id())
     part = F.shiftright("_place", 33)
     sizes = own.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))

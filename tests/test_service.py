@@ -7,7 +7,7 @@ import urllib.request
 
 import pytest
 
-from ledgerloom.service import Service, server
+from ledgerloom.service import Problem, Service, server
 
 INPUT = "date,counterparty,amount,memo\n2025-01-01,Yellow Cab,-5.00,a\n2025-01-02,Shop,10,b\n"
 RULES = 'rule "Cab" {\n match:\n  - counterparty ~ "*cab*"\n set:\n  - category = "Transport"\n}\n'
@@ -34,7 +34,7 @@ def call(spark, tmp_path_factory):
 def test_plain_endpoints(call):
     assert call("/health", key="")[1] == {"status": "ok"}
     assert "/process" in call("/")[1]["endpoints"]
-    assert call("/rulepacks")[1]["packs"]["retail"] == 10
+    assert call("/rulepacks")[1]["packs"]["retail"] == 7
     assert call("/rulepacks", key="x")[0] == 401
     assert call("/none")[0] == 404
     assert call("/none", {})[0] == 404
@@ -61,3 +61,11 @@ def test_operators(call):
     out = call("/impact", {"input": INPUT, "rules": RULES, "packs": ["sanity"], "candidate": RULES.replace("Transport", "Travel")})[1]
     assert (out["exit_code"], out["report"]["behavioural_changed"], len(out["changes"])) == (3, 1, 1)
     assert call("/process", {"input": "a,b\n1,2\n", "rules": RULES})[0] == 422
+
+
+def test_a_request_that_takes_too_long_is_stopped(spark, tmp_path):
+    service = Service(spark, str(tmp_path), seconds=0.05)
+    with pytest.raises(Problem) as problem:
+        service.post("/process", {"input": INPUT, "rules": RULES})
+    assert problem.value.status == 504
+    assert Service(spark, str(tmp_path)).post("/discover", {"input": INPUT, "min_count": 1})["candidates"]

@@ -118,3 +118,44 @@ def test_cli_growth_loop(spark, files):
     before = (files / "new.rules").read_text()
     assert cli.main([*args, "--existing", str(files / "new.rules")], spark) == 0
     assert (files / "new.rules").read_text().strip() == before.strip()
+
+
+def test_cli_verify(spark, files):
+    base = ["--input", str(files / "in.csv"), "--rules", str(files / "a.rules"), "--output", str(files / "out")]
+    assert cli.main(["categorise", *base], spark) == 0
+    both = ["verify", "--input", str(files / "in.csv"), "--output", str(files / "out")]
+    assert cli.main([*both, "--mode", "full", "--report-dir", str(files / "v"), "--html"], spark) == 0
+    (files / "other.csv").write_text((files / "in.csv").read_text().replace("10,b", "11,b"))
+    assert cli.main(["verify", "--input", str(files / "other.csv"), "--output", str(files / "out"), "--report-dir", str(files / "w")], spark) == 3
+    facts = json.loads((files / "w" / "verify_report.json").read_text())
+    assert (facts["rows_in"], facts["rows_checked"], facts["mismatches"]) == (3, 3, 1)
+    (files / "short.csv").write_text("Date;Amount;Counterparty\n01/01/2025;-5,0;Yellow Cab\n02/01/2025;10;Shop;more\n")
+    args = ["verify", "--input", str(files / "short.csv"), "--output", str(files / "out"), "--decimal", ",", "--dayfirst", "--report-dir", str(files / "s")]
+    assert cli.main(args, spark) == 3
+    facts = json.loads((files / "s" / "verify_report.json").read_text())
+    assert (facts["rows_in"], facts["rows_out"], facts["rows_checked"], facts["mismatches"]) == (2, 3, 2, 1)
+    assert cli.main([*both, "--html"], spark) == 2
+    assert cli.main(["verify", "--input", str(files / "gone.csv"), "--output", str(files / "out")], spark) == 1
+
+
+def test_cli_checks_after_categorise(spark, files):
+    (files / "ext.csv").write_text("date,counterparty,amount,category\n2025-01-01,yellow cab,-5,Transport\n2025-01-02,shop,10,Food\n2025-01-03,cab & co,-1,Transport\n")
+    base = ["categorise", "--input", str(files / "in.csv"), "--rules", str(files / "a.rules"), "--output", str(files / "out"), "--verify", "fast", "--report-dir", str(files / "r")]
+    assert cli.main([*base, "--reconcile", str(files / "ext.csv")], spark) == 3
+    assert json.loads((files / "r" / "verify_report.json").read_text())["success"]
+    assert json.loads((files / "r" / "reconcile_report.json").read_text())["mismatches"] == 1
+    (files / "ext.csv").write_text((files / "ext.csv").read_text().replace("Food", ""))
+    assert cli.main([*base, "--reconcile", str(files / "ext.csv"), "--key", "date,counterparty"], spark) == 0
+    assert cli.main([*base[:-4], "--reconcile", str(files / "ext.csv")], spark) == 2
+    assert cli.main([*base, "--reconcile", str(files / "gone.csv")], spark) == 1
+
+
+def test_line_ends_in_quotes_are_looked_for(spark, tmp_path):
+    rows = [f'{k},"x {k}"' for k in range(9000)]
+    (tmp_path / "plain.csv").write_text("\n".join(["a,b", *rows]))
+    plain = read_csv(spark, str(tmp_path / "plain.csv"), order=True)
+    assert plain.where("_row_id = a").count() == 9000
+    (tmp_path / "late.csv").write_text("\n".join(["a,b", *rows, '9000,"two\nlines"']))
+    late = read_csv(spark, str(tmp_path / "late.csv"))
+    assert late.where("a = 9000").first()["b"] == "two\nlines"
+    assert late.count() == 9001
