@@ -46,13 +46,14 @@ def is_ambiguous_date(text: Column) -> Column:
 
 def date_evidence(df: DataFrame, column: str = "date", key: str = "_row_id") -> DataFrame:
     """One row about a text column: how many values are day-first, month-first or ambiguous, and the first of each kind."""
-    text = strip(present(F.col(column)))
-    first, second = (F.when(text.rlike(LOCAL_DATE), F.regexp_extract(text, LOCAL_DATE, k).try_cast("int")) for k in (1, 2))
-    day, month = first > 12, (first <= 12) & (second > 12)
-    kinds = {"day_first": day, "month_first": month, "ambiguous": is_ambiguous_date(text)}
-    counts = [F.count_if(F.coalesce(hit, F.lit(False))).alias(name) for name, hit in kinds.items()]
-    examples = [F.min_by(F.when(kinds[k], text), F.when(kinds[k], F.col(key))).alias(f"{k}_example") for k in ("day_first", "month_first")]
-    return df.agg(*counts, *examples)
+    part = lambda k: F.regexp_extract("text", LOCAL_DATE, k)
+    rows = df.select(F.col(key).alias("key"), strip(present(F.col(column))).alias("text"))
+    rows = rows.select("key", "text", part(1).alias("one"), part(2).alias("two"))  # empty where the text is no such date
+    rows = rows.where("one <> ''").select("key", "text", F.col("one").cast("int").alias("one"), F.col("two").cast("int").alias("two"))
+    kinds = {"day_first": F.col("one") > 12, "month_first": (F.col("one") <= 12) & (F.col("two") > 12), "ambiguous": (F.col("one") <= 12) & (F.col("two") <= 12)}
+    counts = [F.count_if(hit).alias(name) for name, hit in kinds.items()]
+    examples = [F.min_by(F.when(kinds[k], F.col("text")), F.when(kinds[k], F.col("key"))).alias(f"{k}_example") for k in ("day_first", "month_first")]
+    return rows.agg(*counts, *examples)
 
 
 def infer_dates(df: DataFrame, column: str = "date", key: str = "_row_id") -> DateConvention:
@@ -83,6 +84,8 @@ def field_key(df: DataFrame, field: str, convention: DateConvention | None = Non
     if column is None:
         raise ReconcileError(f"no column {field!r}")
     value, kind = F.col(f"`{column}`"), df.schema[column].dataType
+    if isinstance(kind, T.IntegralType) and field.lower() != "amount":
+        return present(value)
     text = strip(present(value))
     if field.lower() == "amount":
         number = value.cast("double") if isinstance(kind, T.NumericType) else to_number(value)

@@ -22,6 +22,9 @@ from ledgerloom.functions.text import guarded, missing_to_null
 #: Encodings in order of trial; sampled bytes and lines; agreement and preference of delimiters.
 ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
 SAMPLE, LINES, STRICT_LINES, AGREE, PREFER = 65536, 50, 200, 0.9, 1.2
+#: What ISO-8859-1, which Spark reads, has for the bytes that cp1252 gives other characters, and these.
+_OWN = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+WESTERN = ("".join(map(chr, _OWN)), bytes(_OWN).decode("cp1252"))
 DELIMITERS = (";", ",", "\t", "|")
 CORRUPT = "_corrupt_record"
 
@@ -124,10 +127,11 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(),
     delimiter = options.delimiter or pick_delimiter(text) or ","
     if options.strict:
         check_delimiter(text, delimiter)
-    java = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
+    java = {"utf-8-sig": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
+    western = (lambda c: F.translate(c, *WESTERN)) if encoding == "cp1252" else lambda c: c
     reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", java).option("quote", '"').option("escape", '"').option("multiLine", multiline)
     names = reader.option("inferSchema", False).csv(path).columns
-    names = [x.removeprefix("\uFEFF") for x in names]
+    names = [x.removeprefix("\uFEFF").translate(str.maketrans(*WESTERN) if encoding == "cp1252" else {}) for x in names]
     if (faults := check_headers(names)) and options.strict:
         raise SourceError("; ".join(faults))
     schema = T.StructType([T.StructField(x, T.StringType()) for x in names] + [T.StructField(CORRUPT, T.StringType())])
@@ -139,8 +143,9 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(),
         if found:
             raise SourceError(f"{path}: a row has another number of fields than the header: {found[0][0][:200]!r}")
     rows = (rows if options.ragged == "keep" else rows.where(~bad)).drop(CORRUPT)
-    if options.missing:
-        rows = rows.select(*(missing_to_null(F.col(f"`{x}`")).alias(x) for x in names))
+    if options.missing or encoding == "cp1252":
+        tidy = missing_to_null if options.missing else lambda c: c
+        rows = rows.select(*(tidy(western(F.col(f"`{x}`"))).alias(x) for x in names))
     return with_row_ids(rows) if order else rows
 
 

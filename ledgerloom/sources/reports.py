@@ -11,6 +11,7 @@ from html import escape
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerloom.operators.impact import Impact
 from ledgerloom.operators.reconcile import IdentityError, Reconciliation
@@ -93,7 +94,7 @@ def impact_report(found: Impact, folder: str | Path, digests: Mapping[str, str]
     """Deltas are one row per rule, flag, status or pair of categories, so they are small; changed rows go out as CSV."""
     folder = Path(folder)
     ordered = {
-        "transitions": found.transitions.orderBy("indicative_amount", ascending=False),
+        "transitions": found.transitions.orderBy(F.desc("indicative_amount"), "old_category", "new_category"),
         "rule_deltas": found.rule_deltas.orderBy("position").drop("position"),
         "flag_deltas": found.flag_deltas.orderBy("flag"),
         "status_deltas": found.status_deltas.orderBy("status"),

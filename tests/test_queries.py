@@ -9,8 +9,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ledgerloom.queries import ORACLES, QUERIES
+from ledgerloom import io_queries, queries
 
+QUERIES, ORACLES = queries.QUERIES | io_queries.QUERIES, queries.ORACLES | io_queries.ORACLES
 DATA = "/root/testdata/sf0.001"
 
 

@@ -159,3 +159,10 @@ def test_line_ends_in_quotes_are_looked_for(spark, tmp_path):
     late = read_csv(spark, str(tmp_path / "late.csv"))
     assert late.where("a = 9000").first()["b"] == "two\nlines"
     assert late.count() == 9001
+
+
+def test_western_files(spark, tmp_path):
+    (tmp_path / "w.csv").write_bytes("date;café;€\n2025-01-01;€5 – é;x\n".encode("cp1252"))
+    df = read_csv(spark, str(tmp_path / "w.csv"))
+    assert df.columns == ["date", "café", "€"]
+    assert df.first()[1] == "€5 – é"
