@@ -126,3 +126,31 @@ def test_recall_at_the_threshold():
     y = 0.9 * x + np.sqrt(1 - 0.81) * embedding_dedup.unit_vectors(z)
     a, b = embedding_dedup.buckets(x), embedding_dedup.buckets(y)
     assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.95
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 4096])
+def test_crowded_buckets_in_batches_of_any_size(spark, rows):
+    x = [(k, v) for k, (_, v) in enumerate(cloud(5, 6))]
+    want = {}
+    for k, v in x:
+        for b in set(embedding_dedup.buckets(embedding_dedup.unit_vectors(np.array([v])))[0].tolist()):
+            want.setdefault(b, set()).add(k)
+    embedding_dedup.bounded_batches(spark, rows)
+    found = embedding_dedup.crowded(spark.createDataFrame(x, "rid long, v array<double>")).collect()
+    got, places = {}, {}
+    for r in found:
+        got.setdefault(r["bucket"], set()).add(r["rid"])
+        places.setdefault(r["bucket"], []).append(r["at"])
+    assert got == {b: s for b, s in want.items() if len(s) > 1}
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    embedding_dedup.bounded_batches(spark)
+
+
+def test_sketches_pass_pairs_at_the_threshold():
+    rng = np.random.default_rng(6)
+    x = embedding_dedup.unit_vectors(rng.normal(size=(3000, 64)))
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * embedding_dedup.unit_vectors(z)
+    differ = np.bitwise_count(embedding_dedup.sketches(x) ^ embedding_dedup.sketches(y)).sum(1)
+    assert differ.max() <= embedding_dedup.apart(0.9) < 90
