@@ -8,12 +8,13 @@ A text's features are its lower-cased words, hashed into ``WORDS`` buckets and w
 whose last part is all pairwise interactions of rank ``RANK``, in time linear in the features by the sum-of-squares identity.
 
 It is fitted on at most ``SAMPLE`` labelled documents of either label, those with the smallest hash of their id (the
-bound is the parameter ``sample``), from features alone, and weighted so that both labels keep their share of all. Scores are
-of whole texts.
+bound is the parameter ``sample``), and of these on no more than have ``MOST_BYTES`` of features, from features alone, and
+weighted so that both labels keep their share of all; that much reaches the driver. Scores are of whole texts.
 
 Edge cases: a null text is an empty one; an empty text has the score of its statistics. Null ids are not held out and not
 learned from, nor are null labels. Without labels every score is 0.5. Repeated rows are rows of their own; of repeated
-labels of an id each counts. No rows give no rows.
+labels of an id each counts. Texts of any length are taken; ties in the hash go by id. Columns other than doc_id, text and
+quality, whatever their names, play no part. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import bounded_batches, cut, hash_sample, joined, picked, remainder
@@ -32,6 +34,8 @@ from ledgerloom.llm.common import bounded_batches, cut, hash_sample, joined, pic
 WORDS, STATS, RANK, SAMPLE, SEED = 1 << 14, 16, 8, 4000, 8
 EPOCHS, RATE, BATCH, DECAY = 12, 0.05, 128, 1e-4
 CUT = 0.3
+#: Bytes of the features that the machine is fitted on.
+MOST_BYTES = 128 << 20
 
 
 @dataclass
@@ -127,7 +131,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
     return model
 
 
-def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -> Model:
     """The model of ``documents(doc_id, text)`` with ``labels(doc_id, quality)``; features of the sample reach the driver."""
     spark = documents.sparkSession
     bounded_batches(spark)
@@ -142,7 +146,12 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
             packed = [pa.array([x[j].astype(kind).tobytes() for x in found], pa.binary()) for j, kind in ((0, "<u2"), (1, "<f4"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *packed], ["doc_id", "quality", "i", "x"])
 
-    found = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, i binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    featured = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, i binary, x binary")
+    featured = cut(featured.withColumn("_k", F.monotonically_increasing_id()))
+    # a row of sizes per document of the sample
+    upto = F.sum(F.octet_length("i") + F.octet_length("x")).over(W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", "_k"))
+    fit_on = cut(featured.select("_k", upto.alias("upto")).where(F.col("upto") <= most_bytes // 2).select("_k"))
+    found = joined(featured, fit_on, "_k", "left_semi", fit_on.count()).drop("_k").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     rows = [(np.frombuffer(i.as_py(), "<u2").astype(np.int64), np.frombuffer(x.as_py(), "<f4").astype(np.float64)) for i, x in zip(found.column("i"), found.column("x"), strict=True)]
     quality = found.column("quality").to_numpy().astype(float)
     if not len(rows):

@@ -57,3 +57,13 @@ def test_awkward_rows(spark):
     assert all(r["held_out"] is False for r in found if r["doc_id"] is None)
     assert op.classify(df.limit(0), labels).count() == 0
     assert {r["score"] for r in op.classify(df, labels.limit(0)).collect()} == {0.5}
+
+
+def test_features_that_reach_the_driver_are_bounded(spark, monkeypatch):
+    df = documents(spark, [(k, prose("en", 300, k) if k % 2 else "## 12 " * 30, "en", "s") for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    seen, real = [], op.fit
+    monkeypatch.setattr(op, "fit", lambda rows, *more: seen.append(sum(6 * len(i) for i, _ in rows)) or real(rows, *more))
+    op.learn(df, labels)
+    op.learn(df, labels, most_bytes=20_000)
+    assert seen[1] <= 20_000 < seen[0]
