@@ -283,16 +283,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, most: int
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     fit = F.col("vec_id").isNotNull() & finite(F.col("v")) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(fit, F.col("v")))
-    distinct = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight"))
-    distinct = cut(distinct.withColumn("rid", F.monotonically_increasing_id()))
+    # rows are numbered once; equal vectors meet by two hashes of 64 bits
+    known = stored(rows.where("v IS NOT NULL").withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit("again"), "v"), "rid": F.monotonically_increasing_id()}))
+    equal = cut(known.groupBy("h", "g").agg(F.min("rid").alias("rid"), F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight")))
+    distinct = cut(joined(known.select("rid", "v"), equal.select("rid", "first", "weight"), "rid", "inner", equal.count()))
     root = components(links(distinct, threshold, most, tables, width)).withColumnRenamed("id", "rid")
     linked = cut(distinct.join(root, "rid"))
     lowest = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
     counted = linked.select("rid", "root").join(partners(linked.select("root", "rid", "v", "weight"), threshold, min(most, COUNTED)), "rid")
     counted = joined(counted, lowest, "root", "inner", lowest.count()).drop("root")
     own = F.col("weight") - 1 + F.coalesce("n", F.lit(0))
-    of = distinct.join(counted, "rid", "left").select("v", own.alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
-    found = rows.where("v IS NOT NULL").join(of, "v").select("vec_id", "n_links", "component_id")
+    of = equal.join(counted, "rid", "left").select("h", "g", own.alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
+    found = known.select("vec_id", "h", "g").join(of, ["h", "g"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
