@@ -57,7 +57,16 @@ class Postings:
             order = full[np.argsort(terms[full], kind="stable")]
             found, at = np.unique(terms[order], return_index=True)
             lists = [(int(t), rows[x], own[x]) for t, x in zip(found, np.split(order, at[1:]), strict=True)] if len(order) else []
-            self.tiles.append((low, len(sizes), lists))
+            self.tiles.append((low, len(sizes), [self._filled(len(sizes), *x) for x in lists]))
+
+    @staticmethod
+    def _filled(size: int, term: int, rows: np.ndarray, weights: np.ndarray) -> tuple[int, np.ndarray | None, np.ndarray]:
+        """A long list of postings with zeros for the candidates that lack the term, and no rows."""
+        if 4 * len(rows) < size:
+            return term, rows, weights
+        every = np.zeros(size, weights.dtype)
+        every[rows] = weights
+        return term, None, every
 
     def scores(self, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Inner products of queries with all candidates of the block, term at a time."""
@@ -67,19 +76,25 @@ class Postings:
         found = np.zeros((len(lengths), self.n), kind)
         asked = []
         for t in range(longest):
-            holders = np.flatnonzero(lengths > t)
-            query = values[starts[holders] + t]
-            asked.append((holders[query != 0], query[query != 0].astype(kind)))
+            query = np.zeros(len(lengths), values.dtype)
+            query[lengths > t] = values[starts[lengths > t] + t]
+            holders = np.flatnonzero(query)
+            asked.append((None, query.astype(kind)) if 2 * len(holders) > len(query) else (holders, query[holders].astype(kind)))
         for low, size, lists in self.tiles:
             dense, buffer = found[:, low : low + size], np.empty((len(lengths), size), kind)
             for t, rows, weights in lists:
-                if t >= longest or not len(asked[t][0]):
+                if t >= longest or not len(asked[t][1]):
                     continue
                 holders, query = asked[t]
-                if len(holders) == len(lengths) and len(rows) == size:
-                    dense += np.multiply(query[:, None], weights.astype(kind)[None, :], out=buffer)
+                weights = weights.astype(kind)
+                if holders is None and rows is None:
+                    dense += np.multiply(query[:, None], weights[None, :], out=buffer)
+                elif rows is None:
+                    dense[holders] += query[:, None] * weights[None, :]
+                elif holders is None:
+                    dense[:, rows] += query[:, None] * weights[None, :]
                 else:
-                    dense[np.ix_(holders, rows)] += query[:, None] * weights.astype(kind)[None, :]
+                    dense[np.ix_(holders, rows)] += query[:, None] * weights[None, :]
         return np.clip(found, -(2**63), 2**63 - 1).astype(np.int64) if kind is object else found
 
 
