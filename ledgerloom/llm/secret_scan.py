@@ -202,7 +202,13 @@ def _example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
             lambda: "|",
             lambda: pick(upper, rng.integers(8, 20)),
             lambda: f"0{pick(digits, 9)}",
-        ][rng.integers(0, 14)]()
+            lambda: f"{pick(digits, 4)}-{pick(digits, 2)}-{pick(digits, 2)}T{pick(digits, 2)}:{pick(digits, 2)}:{pick(digits, 2)}{['Z', '+02:00', '.123Z', ''][rng.integers(0, 4)]}",
+            lambda: f"https://{pick(lower, 4)}.{pick(lower, 8)}.com/{pick(lower, 2)}{pick(digits, 1)}/{pick(lower, 6)}/{pick(upper, 3)}_{pick(digits, 8)}.{pick(lower, 3)}?{pick(lower, 5)}={pick(digits, 4)}&{pick(lower, 4)}={pick(lower, 2)}#{pick(lower, 7)}-{pick(digits, 1)}",
+            lambda: ":".join(pick(["0123456789ABCDEF", hexes][rng.integers(0, 2)], 2) for _ in range(6)),
+            lambda: f"{pick(hexes, 4)}::{':'.join(pick(hexes, rng.integers(1, 5)) for _ in range(rng.integers(1, 7)))}",
+            lambda: f"{pick(upper, 1)}:\\{word().capitalize()}\\{word()}\\{word()}_{pick(digits, 4)}-{pick(lower, 5)}.{pick(lower, 4)}",
+            lambda: f"/{pick(lower, 3)}/{pick(lower, 5)}/{word()}-{pick(digits, 1)}.{pick(digits, 2)}/{pick(lower, 6)}.{pick(lower, 2)}",
+        ][rng.integers(0, 20)]()
 
     def value() -> str:
         return [
@@ -223,7 +229,7 @@ def _example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
 
     for _ in range(rng.integers(8, 30)):
         kind = rng.integers(0, 14)
-        if kind == 0:
+        if kind in (0, 4):
             add(plain())
         elif kind == 1:
             secret, name = value(), NAMES[rng.integers(0, 10)]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -159,3 +160,73 @@ def test_awkward_rows(spark):
     secret = documents(spark, [(1, "my password=abcdefgh12 ok", "en", "s")])
     row = op.cleaned(secret).first()
     assert (row["text"], row["n_chars"], row["size"]) == ("my [assign] ok", 14, 7)
+
+
+CLEAN = (
+    "commit 9fceb02 merges branch feature/LOGIN-482 into release-2.14.0-rc1 on 2023-11-05T08:14:59+01:00",
+    "The secret garden is a novel; its token edition costs 12.50 EUR (ISBN 978-3-16-148410-0).",
+    "def parse_headers(rawLines, max_len=8192): return dict(x.split(':') for x in rawLines)",
+    "docker run --rm -p 8080:80 -v /srv/data:/data registry.example.net/team/app:2024.11.3",
+    "Donaudampfschifffahrtsgesellschaft und Rindfleischetikettierungsgesetz, Straße 12a, 80331 München",
+    "see https://docs.example.com/v2/guides/IMG_20240102_153045.jpg?width=1200&lang=de#section-4",
+    "Please reset your password by following the link; passwords are never sent by mail.",
+    "IBAN DE89 3704 0044 0532 0130 00, BIC COBADEFFXXX, Tel. +49 89 1234567, Kd.-Nr. 4711-0815",
+    "INFO 2024-02-29 23:59:59,999 [worker-17] com.example.service.OrderService - processed 1048576 rows in 3.14s",
+    "C:\\Users\\Anna\\Documents\\Bericht_2024-final(2).docx 00:1A:2B:3C:4D:5E #FF8800 fe80::1ff:fe23:4567:890a",
+    "<path d=\"M10.5,20.25L30,40.125C12,13,14.5,15,16,17Z\" class=\"icon-arrow_down\" data-id=\"row42\"/>",
+    "4-[2-(dimethylamino)ethoxy]-N-(3,4,5-trimethoxybenzoyl)benzylamine hydrochloride, C21H28N2O5, 138-56-7",
+    "x = np.arange(10).reshape(2, 5); y = (x @ x.T).sum() / 1e-9; print(f'{y:.3f}')",
+)
+
+
+def other_texts(seed=11, n=400):
+    """Lines as found in configurations, shells and logs, each with one value, and its place; made by other rules than the training texts."""
+    import string
+
+    rnd = random.Random(seed)
+    of = lambda chars, k: "".join(rnd.choice(chars) for _ in range(k))
+    kinds = (
+        lambda: of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", rnd.choice([16, 26, 32])),  # base32
+        lambda: of("123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", rnd.randint(22, 44)),  # base58
+        lambda: of(string.ascii_letters + string.digits + "+/", rnd.choice([24, 40, 64])) + rnd.choice(["", "=", "=="]),
+        lambda: f"ghx_{of(string.ascii_letters + string.digits, 36)}",
+        lambda: rnd.choice(["Summer", "correct", "Dragon", "tiger"]) + of(string.digits, 4) + rnd.choice("!?$#") + of(string.ascii_lowercase, 3),
+        lambda: "-".join(of("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),  # uuid
+    )
+    frames = ("export API_CREDENTIAL {}", "client.credential: '{}'", "header = Bearer {}", '  "private": "{}",', "pwd {} # rotate soon", "mysql --user app pwd={} db1", "apikey {}", "set credentials = {};")
+    for _ in range(n):
+        kind, frame = rnd.randrange(len(kinds)), rnd.choice(frames)
+        value = kinds[kind]()
+        yield kind, f"{rnd.choice(CLEAN)}\n{frame.format(value)}\n{rnd.choice(CLEAN)}", value
+
+
+def test_texts_of_another_make():
+    """Recall by kind of value, and precision, of the field alone; README has these figures."""
+    model, hits, total, right, spans = op.field(), {}, {}, 0, 0
+    for kind, text, value in other_texts():
+        at = text.index(value)
+        found = op.field_spans(text, [], model)
+        own = [x for _, a, b in found if a < at + len(value) and at < b for x in [(a, b)]]
+        total[kind] = total.get(kind, 0) + 1
+        hits[kind] = hits.get(kind, 0) + bool(own)
+        right, spans = right + len(own), spans + len(found)
+    clean = sum(len(op.field_spans(line, [], model)) for line in CLEAN)
+    print({k: round(hits[k] / total[k], 2) for k in sorted(total)}, "recall", sum(hits.values()) / sum(total.values()), "precision", right / spans, "spans in clean lines", clean)
+    assert sum(hits.values()) / sum(total.values()) > 0.8
+    assert right / spans > 0.8
+
+
+def test_viterbi_by_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 5, 6):
+        for left, right in product((False, True), repeat=2):
+            score, transition = rng.normal(scale=2, size=(n, 3)), rng.normal(scale=2, size=(3, 3))
+
+            def worth(path, score=score, transition=transition, left=left, right=right):
+                steps = ([0] if left else []) + list(path) + ([0] if right else [])
+                return sum(score[t, c] for t, c in enumerate(path)) + sum(transition[a, b] for a, b in zip(steps, steps[1:], strict=False))
+
+            best = max(product(range(3), repeat=n), key=worth)
+            assert tuple(op.viterbi(score, transition, left, right).tolist()) == best
