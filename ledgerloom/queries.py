@@ -253,7 +253,7 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rec.date_evidence(_external(spark, sf_dir).where("_row_id >= 0"))
+    out = rec.date_evidence(orders_ledger(spark, sf_dir).select("_row_id", F.date_format("date", "dd/MM/yyyy").alias("date")))
     return out.select("day_first", "month_first", "ambiguous", "day_first_example")
 
 
@@ -414,7 +414,7 @@ ORACLES: dict[str, str] = {
     "reconcile_orphans_right": f"WITH {_EXTERNAL} SELECT k + 1 AS row_number, substr(day, 9, 2) || '/' || substr(day, 6, 2) || '/' || substr(day, 1, 4) AS date, amount, counterparty, category FROM ext WHERE k NOT IN (SELECT k FROM base)",
     "reconcile_positional": f"WITH {OUTCOME} SELECT k + 1 AS row_number, 'Other' AS external_category, category AS ledger_category FROM base WHERE k % 17 = 0",
     "duplicate_keys": "SELECT l_orderkey::VARCHAR AS l_orderkey, l_linenumber::VARCHAR AS l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
-    "date_convention": f"""WITH {_EXTERNAL}, d AS (SELECT k, substr(day, 9, 2)::INT AS a, substr(day, 9, 2) || '/' || substr(day, 6, 2) || '/' || substr(day, 1, 4) AS t FROM ext WHERE k >= 0)
+    "date_convention": f"""WITH {LEDGER}, d AS (SELECT k, day(date) AS a, strftime(date, '%d/%m/%Y') AS t FROM ledger)
       SELECT count(*) FILTER (WHERE a > 12) AS day_first, 0::BIGINT AS month_first, count(*) FILTER (WHERE a <= 12) AS ambiguous, arg_min(t, k) FILTER (WHERE a > 12) AS day_first_example FROM d""",
     "impact_headline": f"""WITH {CANDIDATE} SELECT count(*) AS rows_compared, count(*) FILTER (WHERE change_class = 'behavioural') AS behavioural_changed,
       count(*) FILTER (WHERE change_class = 'attribution') AS attribution_changed, count(*) FILTER (WHERE change_class = 'stable') AS rows_stable FROM classed""",
