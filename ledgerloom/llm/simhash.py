@@ -55,7 +55,7 @@ NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of one anchor that are compared in one task without dealing them out.
 MOST = 8192
 #: Shingles of one component that are compared in one task, and how often larger ones are dealt into such chunks.
-TOGETHER, ROUNDS = 1 << 20, 2
+TOGETHER, ROUNDS = 1 << 18, 2
 #: Counters of shingles, by the upper bits of their hashes, and how many to a row.
 BUCKETS, BUCKETS_A_ROW = 1 << 20, 1 << 12
 #: Bits of the fingerprints that rule pairs out, how many may differ, and the size of sets from which on they do.
