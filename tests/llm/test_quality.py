@@ -67,3 +67,13 @@ def test_features_that_reach_the_driver_are_bounded(spark, monkeypatch):
     op.learn(df, labels)
     op.learn(df, labels, most_bytes=20_000)
     assert seen[1] <= 20_000 < seen[0]
+
+
+def test_long_texts_of_one_line(spark):
+    model = op.learn(*corpus(spark)[:2])
+    texts = ["word " * 400_000, "x" * 2_000_000, " ".join(f"w{k}" for k in range(300_000))]
+    found = op.scored(documents(spark, [(k, t, None, None) for k, t in enumerate(texts)]), model).collect()
+    for r in found:
+        index, value = op.features(texts[r["doc_id"]])
+        assert len(index) <= op.WORDS + op.STATS
+        assert abs(r["score"] - op.logistic(op.raw_score(index, value, model))) < 1e-9

@@ -86,3 +86,12 @@ def test_broken_archives():
     for bad in (plain.replace(b"payload", b"pAyload"), plain.replace(b"WARC/1.1", b"XARC/1.1"), plain + b"x", plain[:-1], plain.replace(b"Content-Length: 7", b"Content-Length: 8", 1), plain.replace(b"\r\nContent-Length", b"\r\nX-Length")):
         with pytest.raises(op.WarcError):
             list(op.records(io.BytesIO(gzip.compress(bad))))
+
+
+def test_large_records(spark):
+    html = ["é" * 3_000_000, "<p>" * 2_000_000, "é" * 3_000_000]
+    pages = spark.createDataFrame([(k, f"http://x/{k}", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in op.round_trip(pages).collect()}
+    assert [found[k]["payload_bytes"] for k in range(3)] == [6_000_000, 6_000_000, 6_000_000]
+    assert [found[k]["record_type"] for k in range(3)] == ["response", "response", "revisit"]
+    assert found[2]["refers_to"] == 0
