@@ -8,6 +8,12 @@ columns of ``documents``:
 - secret_scan redacts secrets in the text and sets ``n_chars`` to match; no document goes.
 - source_mix repeats documents as often as the mix takes them; those it doesn't take go.
 - byte_bpe encodes and decodes: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+Edge cases: null texts and texts without a letter go in the first stage, also where they have a ``lang``; that is all it rejects,
+and a ``lang`` that is given stays. Documents of the same words are near copies; null ids are kept behind all others, and of
+rows alike in id and text one stays. Documents whose words are none have size 0 and are never taken by the mix. Extra
+columns of any name come through to the last stage. An empty table gives an empty result. The folder of the stages is
+removed whether or not a stage fails.
 """
 
 from __future__ import annotations
