@@ -5,9 +5,9 @@ the encodings are spliced inside each overlap at a stable common boundary.
 
 Proof that a boundary is stable. No piece of the vocabulary holds the space mark behind any other character (checked
 when a model is loaded), so no merge ever joins a character other than a space to a space behind it, and everything left
-and right of such a place is merged by itself. Every chunk that holds both characters has a token boundary there. A place is only taken once the encodings of its
-neighbourhood, as the chunk on its left sees it and as the one on its right does, both have that boundary and agree behind
-it; where they don't, the overlap is widened to the next place, up to the text's end, where the chunks become one. Each chunk
+and right of such a place is merged by itself. Every chunk that holds both characters has a token boundary there. A place is only taken once two encodings of its
+neighbourhood, as the chunk on its left sees it and as the one on its right does, which begins elsewhere, both have that
+boundary and agree behind it; where they don't, the overlap is widened to the next place, up to the text's end, where the chunks become one. Each chunk
 verifies its places once more in its own offsets: the chunk left of a place counts the tokens before it, the chunk right of
 it those from there on. A task holds one chunk at a time; a text itself is one row.
 
@@ -50,10 +50,15 @@ def starts(text: str, loaded: sentencepiece.SentencePieceProcessor) -> list[int]
 
 
 def aligned(text: str, at: int, overlap: int, loaded: sentencepiece.SentencePieceProcessor) -> bool:
-    """Whether the encodings of what is around ``at``, and of what is behind it, begin the same tokens from there on."""
-    before, after = text[max(0, at - overlap) : at], text[at : at + overlap]
-    shift = len(before.encode())
-    return [x - shift for x in starts(before + after, loaded) if x >= shift] == starts(after, loaded)
+    """Whether two encodings of what is around ``at``, begun at different places, have a token that begins there and agree behind it."""
+    end = at + overlap
+
+    def behind(first: int) -> list[int]:
+        shift = len(text[first:at].encode())
+        return [x - shift for x in starts(text[first:end], loaded) if x >= shift]
+
+    one, other = behind(max(0, at - 2 * overlap)), behind(max(0, at - overlap))
+    return one == other and one[:1] == [0]
 
 
 def splice(text: str, border: int, overlap: int, loaded: sentencepiece.SentencePieceProcessor | None = None) -> int | None:
