@@ -124,7 +124,7 @@ def _to_roots(up: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _plain_plans(spark: SparkSession):
+def plain_plans(spark: SparkSession):
     """Without inferred constraints, which tables cut in a loop would pass on and multiply."""
     name = "spark.sql.constraintPropagation.enabled"
     before = spark.conf.get(name)
@@ -143,7 +143,7 @@ def components(edges: DataFrame) -> DataFrame:
     folder; nothing is collected. Hubs are only ever grouped by partial aggregation or joined, which adaptive
     execution can split. Self links and repeats are allowed; no edges give no rows.
     """
-    with _plain_plans(edges.sparkSession):
+    with plain_plans(edges.sparkSession):
         edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
         labels = None
         while not edges.isEmpty():

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, components, cut, dealt, fresh, groups, joined, partitions, picked, spanning, split_hot, stored
+from ledgerloom.llm.common import bounded_batches, components, cut, dealt, fresh, groups, joined, partitions, picked, plain_plans, spanning, split_hot, stored
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: Words of the shingles of near copies, and their least similarity.
@@ -55,7 +55,7 @@ NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of one anchor that are compared in one task without dealing them out.
 MOST = 8192
 #: Shingles of one component that are compared in one task, and how often larger ones are dealt into such chunks.
-TOGETHER, ROUNDS = 1 << 18, 2
+TOGETHER, ROUNDS = 1 << 22, 2
 #: Counters of shingles, by the upper bits of their hashes, and how many to a row.
 BUCKETS, BUCKETS_A_ROW = 1 << 20, 1 << 12
 #: Bits of the fingerprints that rule pairs out, how many may differ, and the size of sets from which on they do.
@@ -308,6 +308,11 @@ def _compared(rows: DataFrame, similarity: float) -> DataFrame:
 
 def near_groups(texts: DataFrame, together: int = TOGETHER, similarity: float = SIMILARITY) -> DataFrame:
     """``cid, group`` for the linked ones among ``texts(root, cid, text)``: those of a root that similar ones join share a group."""
+    with plain_plans(texts.sparkSession):
+        return _near_groups(texts, together, similarity)
+
+
+def _near_groups(texts: DataFrame, together: int, similarity: float) -> DataFrame:
     bounded_batches(texts.sparkSession, 512)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
