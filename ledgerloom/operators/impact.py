@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,19 +88,24 @@ def changed_rows(compared: DataFrame, key: str = "_row_id") -> DataFrame:
     return out.select("row_number", *(c for c in compared.columns if c not in (key, "old_fired", "new_fired")))
 
 
-@dataclass(frozen=True)
+@dataclass
 class Impact:
+    """What differs, as frames; each is planned when it is first asked for."""
+
     compared: DataFrame
-    transitions: DataFrame
-    rule_deltas: DataFrame
-    flag_deltas: DataFrame
-    status_deltas: DataFrame
-    changed_rows: DataFrame
+    baseline: Sequence[Rule]
+    candidate: Sequence[Rule]
+    key: str = "_row_id"
+
+    transitions = cached_property(lambda self: transitions(self.compared))
+    rule_deltas = cached_property(lambda self: rule_deltas(self.compared, self.baseline, self.candidate))
+    flag_deltas = cached_property(lambda self: flag_deltas(self.compared))
+    status_deltas = cached_property(lambda self: status_deltas(self.compared))
+    changed_rows = cached_property(lambda self: changed_rows(self.compared, self.key))
 
     def summary(self) -> dict[str, int]:
         return headline(self.compared).first().asDict()
 
 
 def impact(df: DataFrame, baseline: Sequence[Rule], candidate: Sequence[Rule], key: str = "_row_id") -> Impact:
-    compared = compare(df, baseline, candidate, key)
-    return Impact(compared, transitions(compared), rule_deltas(compared, baseline, candidate), flag_deltas(compared), status_deltas(compared), changed_rows(compared, key))
+    return Impact(compare(df, baseline, candidate, key), baseline, candidate, key)
