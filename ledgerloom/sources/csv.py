@@ -1,7 +1,9 @@
 """CSV sources and sinks: encoding and delimiter picks, header checks, header maps, and guarded writing.
 
-A sample of at most ``SAMPLE`` bytes of the first file is looked at on the driver, through Spark's own readers, so any store that
-Spark reads will do. All columns are read as text; types come from the normaliser.
+A sample of at most ``SAMPLE`` bytes, of as many files as that takes, is looked at on the driver, through Hadoop's file systems, so any
+store that Spark reads will do. The delimiter comes from the sample. So do the encoding and whether quoted fields hold line ends if
+the sample is all there is; else many tasks look at every line of every file for these. All columns are read as text; types
+come from the normaliser.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ SAMPLE, LINES, STRICT_LINES, AGREE, PREFER = 65536, 50, 200, 0.9, 1.2
 #: What ISO-8859-1, which Spark reads, has for the bytes that cp1252 gives other characters, and these.
 _OWN = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
 WESTERN = ("".join(map(chr, _OWN)), bytes(_OWN).decode("cp1252"))
+NOT_WESTERN = "[" + "".join(f"\\x{b:02X}" for b in range(0x80, 0xA0) if b not in _OWN) + "]"
 DELIMITERS = (";", ",", "\t", "|")
 CORRUPT = "_corrupt_record"
 
@@ -33,32 +36,39 @@ class SourceError(ValueError):
     """A file whose structure can't be trusted."""
 
 
-def head(spark: SparkSession, path: str, size: int = SAMPLE) -> bytes:
-    """The first bytes of the first file of ``path``, through Hadoop's file systems."""
+def head(spark: SparkSession, path: str, size: int = SAMPLE) -> tuple[bytes, bool]:
+    """The first bytes of the files of ``path``, each file on lines of its own, and whether these are all."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     store = where.getFileSystem(spark._jsc.hadoopConfiguration())
     if not store.exists(where):
         raise SourceError(f"{path} does not exist")
-    if store.getFileStatus(where).isDirectory():
-        names = sorted(str(s.getPath().toString()) for s in store.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
-        if not names:
+    files = [store.getFileStatus(where)]
+    if files[0].isDirectory():
+        files = [s for s in store.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+        if not files:
             raise SourceError(f"{path} holds no file")
-        where = jvm.org.apache.hadoop.fs.Path(names[0])
-    stream = store.open(where)
-    try:
-        return bytes(b & 255 for b in stream.readNBytes(size))
-    finally:
-        stream.close()
+    found = b""
+    for file in sorted((s.getPath() for s in files if s.getLen()), key=lambda x: str(x.toString())):
+        if found and not found.endswith(b"\n"):
+            found += b"\n"
+        stream = store.open(file)
+        try:
+            found += bytes(stream.readNBytes(size + 1 - len(found)))
+        finally:
+            stream.close()
+        if len(found) > size:
+            return found[:size], False
+    return found, True
 
 
-def pick_encoding(sample: bytes) -> str:
-    """The first of the encodings that reads the sample; a character cut at its end doesn't count."""
+def pick_encoding(sample: bytes, whole: bool = False) -> str:
+    """The first of the encodings that reads the sample; a character cut at its end doesn't count, unless the sample is the ``whole``."""
     for encoding in ENCODINGS:
         try:
             sample.decode(encoding)
         except UnicodeDecodeError as error:
-            if encoding != "utf-8-sig" or error.start < len(sample) - 3:
+            if encoding != "utf-8-sig" or whole or error.reason != "unexpected end of data":
                 continue
         return encoding
     return ENCODINGS[0]
@@ -92,17 +102,13 @@ def check_headers(names: Sequence[str]) -> list[str]:
     return found + [f"column name {x!r} is repeated" for x, n in Counter(low).items() if n > 1 and x]
 
 
-def has_line_ends(spark: SparkSession, path: str, sample: bytes) -> bool:
-    """Whether a quoted field holds a line end: then some line has an odd number of quotes. Longer files are looked at by many tasks."""
-    odd = lambda text: any(x.count(b'"') % 2 for x in text.splitlines())
-    if len(sample) < SAMPLE:
-        names = [x for x in spark.read.format("binaryFile").load(path).select("path", "length").limit(2).collect()]
-        if len(names) == 1 or odd(sample):
-            return odd(sample)
-    elif odd(sample[: sample.rfind(b"\n") + 1]):
-        return True
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+def looked_through(spark: SparkSession, path: str) -> tuple[bool, str]:
+    """Whether a quoted field holds a line end: then some line has an odd number of quotes; and the encoding that reads every line."""
+    rows = spark.read.text(path).select("value", F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("bytes"))
+    quotes = F.length("bytes") - F.length(F.translate("bytes", '"', ""))
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    odd, other, beyond = rows.select(any_of(quotes % 2 == 1), any_of(~F.is_valid_utf8("value")), any_of(F.col("bytes").rlike(NOT_WESTERN))).first()
+    return odd, ENCODINGS[0] if not other else ENCODINGS[2] if beyond else ENCODINGS[1]
 
 
 @dataclass(frozen=True)
@@ -120,9 +126,11 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(),
 
     A row with too many or too few fields is dropped, or an error that shows the first one.
     """
-    sample = head(spark, path)
-    multiline = has_line_ends(spark, path, sample) if options.multiline is None else options.multiline
-    encoding = options.encoding or pick_encoding(sample)
+    sample, whole = head(spark, path)
+    multiline, encoding = options.multiline, options.encoding
+    if multiline is None or encoding is None:
+        seen = (any(x.count(b'"') % 2 for x in sample.splitlines()), pick_encoding(sample, True)) if whole else looked_through(spark, path)
+        multiline, encoding = seen[0] if multiline is None else multiline, encoding or seen[1]
     text = sample.decode(encoding, errors="ignore")
     delimiter = options.delimiter or pick_delimiter(text) or ","
     if options.strict:

@@ -166,3 +166,16 @@ def test_western_files(spark, tmp_path):
     df = read_csv(spark, str(tmp_path / "w.csv"))
     assert df.columns == ["date", "café", "€"]
     assert df.first()[1] == "€5 – é"
+
+
+@pytest.mark.parametrize(("encoding", "text"), [("utf-8", "€5 – é"), ("cp1252", "€5 – é"), ("latin-1", "é\x81")])
+def test_every_file_and_line_counts_for_the_encoding(spark, tmp_path, encoding, text):
+    (tmp_path / "part-0.csv").write_bytes(b"")
+    (tmp_path / "part-1.csv").write_bytes(b"k;name\n")  # of a task without rows
+    (tmp_path / "part-2.csv").write_bytes(f'k;name\n1;"{text}"'.encode(encoding))
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path), CsvOptions(strict=True)).collect()] == [("1", text)]
+    late = [*(f"{k};plain" for k in range(9000)), f'9000;"{text}"', f'9001;"{text}"']
+    (tmp_path / "part-3.csv").write_bytes("\n".join(["k;name", *late]).encode(encoding))
+    found = read_csv(spark, str(tmp_path), CsvOptions(strict=True))
+    assert found.where("CAST(k AS int) >= 9000").orderBy("k").collect() == [("9000", text), ("9001", text)]
+    assert found.count() == 9003
