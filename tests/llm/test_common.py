@@ -75,3 +75,12 @@ def test_hash_sample(spark):
 def test_shared_dir(spark):
     assert common.shared_dir(spark)
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_estimated_sizes_do_not_grow_with_the_steps_of_a_loop(spark):
+    chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = common.components(chain)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 256
+    again = common.components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    assert again._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 256
+    assert {r["root"] for r in again.collect()} == {0}
